@@ -43,7 +43,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None
 
 
 def strip_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
 
 
 def sniff_delimiter(header: str) -> str:
@@ -54,7 +54,7 @@ def sniff_delimiter(header: str) -> str:
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless the first lines hold bytes that are not."""
     lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
-    return ENCODINGS[1] if any("�" in line for line in lines) else ENCODINGS[0]
+    return ENCODINGS[1] if any("\ufffd" in line for line in lines) else ENCODINGS[0]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
