@@ -276,21 +276,21 @@ def fill(df: DataFrame, specs: Mapping[str, tuple[str, str]], order_by, partitio
     rows = b.df.withColumn(TARGET, F.col(BLOCK))
     known = {n: F.when(col(c).isNotNull(), F.struct(col(c).alias("v"), F.col(RN).alias("at")))
              for n, (c, _) in specs.items()}
-    back, on = b.window.rowsBetween(W.unboundedPreceding, 0), b.window.rowsBetween(0, W.unboundedFollowing)
-    local = rows.select("*", *[
-        (F.last(known[n], ignorenulls=True).over(back) if d == "forward"
-         else F.first(known[n], ignorenulls=True).over(on)).alias(f"__l_{n}") for n, (_, d) in specs.items()])
     part = [col(p) for p in b.part]
+
+    # Backward fills run forward over the reversed order: a frame that only grows is linear in Spark.
+    def nearest(value: Column, keys: list[Column], order: str, direction: str, end: int) -> Column:
+        w = W.partitionBy(*keys).orderBy(F.col(order) if direction == "forward" else F.col(order).desc())
+        return F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, end))
+
+    local = rows.select("*", *[nearest(known[n], [*part, F.col(TARGET)], RN, d, 0).alias(f"__l_{n}")
+                               for n, (_, d) in specs.items()])
     per_block = rows.groupBy(*part, BLOCK).agg(*[
         (F.max_by if d == "forward" else F.min_by)(known[n], known[n]["at"]).alias(f"__t_{n}")
         for n, (_, d) in specs.items()])
-    w = W.partitionBy(*part).orderBy(BLOCK)
-    earlier, later = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
     carry = per_block.select(
         *[c.alias(f"__p{i}") for i, c in enumerate(part)], F.col(BLOCK).alias("__bk"),
-        *[(F.last(f"__t_{n}", ignorenulls=True).over(earlier) if d == "forward"
-           else F.first(f"__t_{n}", ignorenulls=True).over(later)).alias(f"__c_{n}")
-          for n, (_, d) in specs.items()])
+        *[nearest(F.col(f"__t_{n}"), part, BLOCK, d, -1).alias(f"__c_{n}") for n, (_, d) in specs.items()])
     any_known = functools.reduce(lambda x, y: x | y, [F.col(f"__c_{n}").isNotNull() for n in specs])
     same = F.col(BLOCK) == F.col("__bk")
     for i, c in enumerate(part):
