@@ -46,12 +46,12 @@ def ols(df: DataFrame, target: str, features: Sequence[str]) -> Fit:
     beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
     intercept = means[0] - means[1:] @ beta
     residual = max(0.0, total - (n - 1) * float(beta @ xy))
-    r2 = 1 - residual / total if total > 0 else 0.0
+    r2 = float(1 - residual / total) if total > 0 else 0.0
     adjusted = 1 - (1 - r2) * (n - 1) / (n - p - 1)
     sd = np.sqrt(np.diag(xx))
     inverse = np.linalg.pinv(xx / np.outer(sd, sd))
     vif = [float(min(999.0, v)) if v < 1000 else 999.0 for v in np.diag(inverse)]
-    sigma2 = residual / (n - p - 1)
+    sigma2 = float(residual) / (n - p - 1)
     errors = np.sqrt(np.clip(sigma2 * np.diag(inverse) / (sd * sd * (n - 1)), 0, None))
     spark = df.sparkSession
     table = spark.createDataFrame(

@@ -260,8 +260,11 @@ def trend(spark, d):
     return out.select(rounded("slope", 6).alias("slope"), rounded("intercept").alias("intercept"), rounded("r2").alias("r2"), "n")
 
 
+PAIR_LIST = " union all ".join(f"select '{a} & {b}' as subject, corr({a}, {b}) as c from lineitem" for a, b in PAIRS)
+
+
 @query("L26_findings", f"""
-select 'strongest_pair' as kind, 'l_quantity & l_extendedprice' as subject, {r('corr(l_quantity, l_extendedprice)')} as value from lineitem union all
+select 'strongest_pair' as kind, subject, {r('c')} as value from (select * from ({PAIR_LIST}) order by abs(c) desc limit 1) union all
 select 'severe_skew', 'tail', {r('skewness(exp(l_quantity / 10))')} from lineitem""")
 def find(spark, d):
     t = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
