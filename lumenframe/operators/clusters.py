@@ -9,7 +9,7 @@ from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.functions.columns import col, number, numeric_columns, string_columns
 from lumenframe.operators.baskets import association_rules
@@ -30,11 +30,6 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, li
     return packed.drop(*z), names
 
 
-def embedding_vectors(df: DataFrame, column: str) -> DataFrame:
-    """An array column as a vector."""
-    return df.withColumn(SCALED, array_to_vector(col(column).cast(T.ArrayType(T.DoubleType()))))
-
-
 class Clusters(NamedTuple):
     rows: DataFrame
     sizes: DataFrame
@@ -62,12 +57,15 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int = 3, algorithm: str =
         learners = {
             "kmeans": lambda: KMeans(k=k, seed=seed, initSteps=5, featuresCol=SCALED, predictionCol="cluster"),
             "minibatch_kmeans": lambda: KMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="cluster"),
-            "hierarchical": lambda: BisectingKMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="cluster"),
+            "hierarchical": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="__moved", predictionCol="cluster"),
             "gmm": lambda: GaussianMixture(k=k, seed=seed, featuresCol=SCALED, predictionCol="cluster"),
         }
         if algorithm not in learners:
             raise ValueError(f"unknown algorithm: {algorithm}")
-        labelled = learners[algorithm]().fit(rows).transform(rows).drop("probability")
+        # Bisecting k-means splits by noise in proportion to the centre, which must not be the origin.
+        moved = array_to_vector(F.transform(vector_to_array(SCALED), lambda v: v + 10.0))
+        ready = rows.withColumn("__moved", moved) if algorithm == "hierarchical" else rows
+        labelled = learners[algorithm]().fit(ready).transform(ready).drop("probability", "__moved")
     pca = PCA(k=2, inputCol=SCALED, outputCol="__pc").fit(rows)
     out = pca.transform(labelled).withColumn("__pc", vector_to_array("__pc"))
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

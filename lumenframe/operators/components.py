@@ -19,7 +19,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     def canonical(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
+    def signature(e: DataFrame) -> tuple:
+        """Number of edges and an order-free sum of their hashes: equal when a round changed nothing."""
+        hashed = F.xxhash64("a", "b")
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(hashed, F.lit(1 << 31))), F.bit_xor(hashed)).first())
+
     current = canonical(edges).checkpoint()
+    mark = signature(current)
     for _ in range(max_rounds):
         # Large star: all larger neighbours of a node are tied to its smallest neighbour.
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,10 +35,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(lowest, "a")
         small = canonical(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))))
-        after = small.checkpoint()
-        if after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty():
-            break
+        after, before = small.checkpoint(), mark
+        mark = signature(after)
         current = after
+        if mark == before:
+            break
     else:
         raise RuntimeError("components did not settle")
     labels = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -86,8 +86,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks on ties; works on the folded (x, y) pairs."""
     rows = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
     ranks = {n: value_ranks(rows, n).withColumn(f"r{n}", average_rank()) for n in ("x", "y")}
-    out = lookup(_folded(df, x, y), ranks["x"], ["x"], ["rx"])
-    out = lookup(out, ranks["y"], ["y"], ["ry"])
+    out = lookup(_folded(df, x, y), ranks["x"], ["x"], ["rx"], "__n")
+    out = lookup(out, ranks["y"], ["y"], ["ry"], "__n")
     middle = (rows.agg(F.count(F.lit(1))).scalar() + 1) / 2
     a, b, w = F.col("rx") - middle, F.col("ry") - middle, F.col("w")
     return out.select(a.alias("a"), b.alias("b"), w).agg(

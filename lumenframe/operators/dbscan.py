@@ -3,7 +3,7 @@
 Cells have the side eps / sqrt(d), so two points of a cell are always neighbours: a cell
 with ``min_samples`` points needs no distance at all. Points of thinner cells (fewer than
 ``min_samples``) are sent to the cells around them, where distances are counted in chunks of
-bounded size. Which cells touch is settled by comparing boxes that are halved until a pair
+bounded size. Which cells touch is settled by comparing boxes that are split until a pair
 of points is close enough or no pair can be; only undecided boxes go on.
 """
 
@@ -21,6 +21,7 @@ from lumenframe.functions.columns import col, number
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.neighbours import CHUNK_ROWS, _distances, _matrix
 from lumenframe.operators.ordered import with_row_number
+from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
 
 MAX_DIMENSIONS = 4
@@ -77,8 +78,9 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     # Clusters are few compared with points, but still numbered without one task: rank over the distinct labels.
     numbers = with_row_number(labels.select("label").distinct(), "label", name="__n").select(
         F.col("label").alias("__l"), (F.col("__n") - 1).cast("int").alias("cluster"))
-    by_place = places.select("id", F.col("x").alias("__x")).join(labels.join(numbers, F.col("label") == F.col("__l")), "id", "left")
-    return rows.join(by_place.select("__x", "cluster"), F.col("x") == F.col("__x")).select(
+    numbered = labels.join(numbers, F.col("label") == F.col("__l")).select("id", "cluster")
+    by_place = places.select("id", "x", F.col("w").alias("__n")).join(numbered, "id", "left")
+    return lookup(rows, by_place.select("x", "cluster", "__n"), ["x"], ["cluster"], "__n").select(
         F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
@@ -128,14 +130,16 @@ def _point_distance(a: str, b: str, d: int) -> Column:
     return F.sqrt(sum(((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(d)), F.lit(0.0)))
 
 
-def _touching(core: DataFrame, side: float, eps: float, d: int, max_levels: int = 60) -> DataFrame:
+def _touching(core: DataFrame, side: float, eps: float, d: int, max_levels: int = 50) -> DataFrame:
     """(ca, cb): pairs of cells with core points within eps of each other."""
     offsets = [o for o in _around(side, eps, d) if o > tuple([0] * d)]
     around = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
 
+    factor = 4 if d <= 2 else 2
+
     def boxes(level: int) -> DataFrame:
         """One row per occupied box: its cell, a point, the number of points."""
-        box = _cell(F.col("x"), side / 2 ** level, d)
+        box = _cell(F.col("x"), side / factor ** level, d)
         return core.withColumn("box", box).groupBy("cell", "box").agg(
             F.min_by("x", "id").alias("point"), F.count(F.lit(1)).alias("n"))
 
@@ -147,7 +151,7 @@ def _touching(core: DataFrame, side: float, eps: float, d: int, max_levels: int
         around, lambda o: F.zip_with(F.col("ca"), o, lambda u, v: u + v)))).join(sided(top, "b"), "cb")
     found = None
     for level in range(max_levels):
-        size = side / 2 ** level
+        size = side / factor ** level
         judged = pairs.withColumn("close", _point_distance("pa", "pb", d) <= eps).where(
             F.col("close") | (_box_distance("ba", "bb", d, size) <= eps * (1 + 1e-9))).checkpoint()
         hits = judged.where("close").select("ca", "cb").distinct()
@@ -158,8 +162,8 @@ def _touching(core: DataFrame, side: float, eps: float, d: int, max_levels: int
             break
         finer = boxes(level + 1)
         a, b = sided(finer, "a"), sided(finer, "b")
-        a = a.withColumn("ua", F.transform("ba", lambda v: F.floor(v / 2).cast("long")))
-        b = b.withColumn("ub", F.transform("bb", lambda v: F.floor(v / 2).cast("long")))
+        a = a.withColumn("ua", F.transform("ba", lambda v: F.floor(v / factor).cast("long")))
+        b = b.withColumn("ub", F.transform("bb", lambda v: F.floor(v / factor).cast("long")))
         pairs = open_pairs.select("ca", "cb", F.col("ba").alias("ua"), F.col("bb").alias("ub")).join(a, ["ca", "ua"]).join(
             b, ["cb", "ub"]).select("ca", "cb", "ba", "bb", "pa", "pb", "na", "nb")
     else:

@@ -48,7 +48,7 @@ def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFra
     out = name or f"{column}_encoded"
     text = df.withColumn("__text", col(column).cast("string"))
     ranks = value_ranks(text, "__text").withColumn(out, (F.col("__dense") - 1).cast("double"))
-    return lookup(text, ranks, ["__text"], [out]).drop("__text")
+    return lookup(text, ranks, ["__text"], [out], "__n").drop("__text")
 
 
 def frequency_encode(df: DataFrame, column: str, name: str | None = None, decimals: int | None = 4) -> DataFrame:
@@ -57,7 +57,7 @@ def frequency_encode(df: DataFrame, column: str, name: str | None = None, decima
     known = df.where(col(column).isNotNull())
     counts = known.groupBy(col(column)).agg(F.count(F.lit(1)).alias("__n"))
     share = F.col("__n") / known.agg(F.count(F.lit(1))).scalar()
-    return lookup(df, counts.withColumn(out, share if decimals is None else F.bround(share, decimals)), [column], [out])
+    return lookup(df, counts.withColumn(out, share if decimals is None else F.bround(share, decimals)), [column], [out], "__n")
 
 
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0, name: str | None = None,
@@ -70,7 +70,7 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10
         F.count(y).alias("__known"), F.avg(y).alias("__mean"), F.count(F.lit(1)).alias("__n"))
     smooth = F.when(F.col("__known") > 0, (F.col("__known") * F.col("__mean") + smoothing * overall)
                     / (F.col("__known") + smoothing))
-    done = lookup(df, table.withColumn(out, smooth), [column], [out])
+    done = lookup(df, table.withColumn(out, smooth), [column], [out], "__n")
     value = F.coalesce(col(out), overall)
     return done.withColumn(out, value if decimals is None else F.bround(value, decimals))
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lumenframe.functions.columns import col, is_missing, is_numeric, number, numeric_columns, require
 from lumenframe.operators.quantiles import column_quantiles
+from lumenframe.operators.ranks import lookup
+from lumenframe.session import ensure_checkpoint_dir
 
 PIVOTS = 256
 CHUNK_ROWS = 20_000
@@ -59,8 +61,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
     """(query, neighbour, distance) for the k nearest points of every query; ties by smaller id.
 
     Both tables have columns id and x (array of doubles, no nulls). With ``exclude_self`` a
-    point with the query's own id does not count.
+    point with the query's own id does not count. Tables that are read again are written to
+    the checkpoint folder; the result has k rows per query.
     """
+    ensure_checkpoint_dir(queries.sparkSession)
     wanted = k + 1 if exclude_self else k
     # Copies: the result depends on the coordinates, and only the first ids of a place can be among the k nearest.
     first = W.partitionBy("x").orderBy("id")
@@ -69,7 +73,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
     centres = _pivots(folded.select("x"), pivots)
     if not len(centres):
         return queries.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
-    placed = _with_cell(folded, centres)
+    placed = _with_cell(folded, centres).checkpoint()
     cells = placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.min("away").alias("inner")).collect()
     chunks = {r["cell"]: max(1, -(-r["n"] // chunk_rows)) for r in cells}
@@ -97,7 +101,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
             yield pd.DataFrame({"x": batch["x"].to_numpy()[rows], "cell": ids[hits].astype("int32")})
 
     asked = queries.select("x").distinct()
-    visits = asked.mapInPandas(visit, "x array<double>, cell int")
+    visits = asked.mapInPandas(visit, "x array<double>, cell int").checkpoint()
     count_of = F.create_map(*[v for c, n in chunks.items() for v in (F.lit(int(c)), F.lit(int(n)))])
     sent = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1)))
     # Queries of a cell are cut into blocks as well, so that neither side of a task is unbounded.
@@ -127,13 +131,13 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
     one = found.select("x", "distance", F.explode("ids").alias("neighbour"))
     best = one.withColumn("__row", F.row_number().over(W.partitionBy("x").orderBy("distance", "neighbour"))).where(
         F.col("__row") <= wanted).groupBy("x").agg(F.collect_list(F.struct("distance", "neighbour")).alias("near"))
-    out = queries.select("id", "x").join(best, "x").select(F.col("id").alias("query"), F.explode("near").alias("z")).select(
-        "query", F.col("z.neighbour").alias("neighbour"), F.col("z.distance").alias("distance"))
+    out = lookup(queries.select("id", "x"), best, ["x"], ["near"]).select(
+        F.col("id").alias("query"), F.explode("near").alias("z")).select("query", F.col("z.neighbour").alias("neighbour"), F.col("z.distance").alias("distance"))
     if exclude_self:
         out = out.where(F.col("query") != F.col("neighbour"))
         rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))
         out = out.withColumn("__row", rank).where(F.col("__row") <= k).drop("__row")
-    return out
+    return out.checkpoint()
 
 
 def _points(df: DataFrame, key: str, columns: Sequence[str], shift: Sequence[tuple[float, float]]) -> DataFrame:
@@ -155,7 +159,8 @@ def knn_predict(train: DataFrame, queries: DataFrame, key: str, columns: Sequenc
     known = train.dropna(subset=[target, *columns])
     shift = _scales(known, columns, scale)
     near = knn_join(_points(queries.dropna(subset=list(columns)), key, columns, shift), _points(known, key, columns, shift), k, **join)
-    voted = near.join(known.select(col(key).alias("neighbour"), col(target).alias("__y")), "neighbour")
+    # Many queries can share a neighbour, so the target is looked up with hot keys set apart.
+    voted = lookup(near, known.select(col(key).alias("neighbour"), col(target).alias("__y")), ["neighbour"], ["__y"])
     if is_numeric(train, target):
         answer = voted.groupBy("query").agg(F.avg("__y").alias("prediction"))
     else:
@@ -185,14 +190,16 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str] | None = None, k:
                 if not shared:
                     continue
                 factor = (len(columns) / len(shared)) ** 0.5
-                x = F.array(*[col(columns[j]) * F.lit(factor) + F.lit(0.0) for j in shared]).alias("x")
+                x = F.array(*[col(columns[j]) + F.lit(0.0) for j in shared]).alias("x")
                 one = knn_join(rows.where(F.col("known") == asks).select("id", x), rows.where(F.col("known") == gives).select("id", x), k, **join)
+                # Scaled after the join: scaled coordinates would break exact ties by rounding.
+                one = one.withColumn("distance", F.col("distance") * factor)
                 near = one if near is None else near.unionByName(one)
         if near is None:
             continue
         best = near.withColumn("__row", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(
             F.col("__row") <= k)
-        value = best.join(rows.select(F.col("id").alias("neighbour"), col(c).alias("__v")), "neighbour").groupBy("query").agg(
+        value = lookup(best, rows.select(F.col("id").alias("neighbour"), col(c).alias("__v")), ["neighbour"], ["__v"]).groupBy("query").agg(
             F.avg("__v").alias("v")).select("query", F.lit(c).alias("column"), "v")
         fills = value if fills is None else fills.unionByName(value)
     if fills is None:
@@ -210,10 +217,11 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str], neighb
     points = _points(rows, key, columns, [(0.0, 1.0)] * len(columns))
     near = knn_join(points, points, neighbours, exclude_self=True, **join)
     k_distance = near.groupBy("query").agg(F.max("distance").alias("kd"))
-    reach = near.join(k_distance.withColumnRenamed("query", "neighbour"), "neighbour").withColumn(
+    reach = lookup(near, k_distance.withColumnRenamed("query", "neighbour"), ["neighbour"], ["kd"]).withColumn(
         "reach", F.greatest("kd", "distance"))
     density = reach.groupBy("query").agg((1.0 / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))
-    ratio = near.join(density.select(F.col("query").alias("neighbour"), F.col("lrd").alias("other")), "neighbour").join(density, "query")
+    ratio = lookup(near, density.select(F.col("query").alias("neighbour"), F.col("lrd").alias("other")), ["neighbour"], ["other"]).join(
+        density, "query")
     out = ratio.groupBy("query").agg(F.avg(F.col("other") / F.col("lrd")).alias("lof"))
     return out.withColumnRenamed("query", key)
 

@@ -103,7 +103,7 @@ def target_leakage(df: DataFrame, target: str, limit: float = 0.98) -> DataFrame
         rows, y = df, F.coalesce(number(df, target), F.lit(0.0))
     else:
         named = df.withColumn("__label", col(target).cast("string"))
-        rows = lookup(named, value_ranks(named, "__label"), ["__label"], ["__dense"])
+        rows = lookup(named, value_ranks(named, "__label"), ["__label"], ["__dense"], "__n")
         y = (F.col("__dense") - 1).cast("double")
     exprs = []
     for i, c in enumerate(names):

@@ -27,13 +27,24 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), ascending: bo
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str],
-           n: str = "__n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join of ``table`` (unique keys, with row counts) that no hot key can skew.
+           n: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of ``table`` (unique keys) that no hot key can skew.
 
     Keys with more than ``hot_rows`` rows are broadcast: there are at most rows / hot_rows
     of them. Their rows, and rows with null keys, get a spread value so that the shuffle
-    join of the remaining keys does not bring them together.
+    join of the remaining keys does not bring them together. ``n`` names the column of
+    ``table`` that holds the row counts; without it they are counted first.
     """
+    df = normalise_missing(df)
+    if n is None:
+        heat = df.groupBy(*[col(k).alias(f"__heat_{i}") for i, k in enumerate(keys)]).agg(
+            F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+        hit = F.lit(True)
+        for i, k in enumerate(keys):
+            hit = hit & col(k).eqNullSafe(F.col(f"__heat_{i}"))
+        table = table.join(F.broadcast(heat), hit, "left").fillna(0, ["__n"])
+        n = "__n"
+
     def renamed(t: DataFrame, tag: str) -> DataFrame:
         return t.select(*[col(k).alias(f"__{tag}_k{i}") for i, k in enumerate(keys)],
                         *[col(v).alias(f"__{tag}_{v}") for v in values], F.lit(True).alias(f"__{tag}"))
@@ -50,7 +61,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequenc
     for k in keys:
         null_key = null_key | col(k).isNull()
     spread = F.when(F.col("__hot") | null_key, F.spark_partition_id() + 1).otherwise(F.lit(0))
-    marked = normalise_missing(df).join(F.broadcast(hot), same("hot"), "left").withColumn("__spread", spread)
+    marked = df.join(F.broadcast(hot), same("hot"), "left").withColumn("__spread", spread)
     out = marked.join(cold, same("cold") & (F.col("__spread") == F.col("__zero")), "left")
     return out.select(*[col(c) for c in df.columns],
                       *[F.coalesce(F.col(f"__hot_{v}"), F.col(f"__cold_{v}")).alias(v) for v in values])
@@ -81,7 +92,7 @@ def rank(df: DataFrame, column: str, method: str = "dense", ascending: bool = Fa
         if method not in forms:
             raise ValueError(f"unknown rank method: {method}")
         value = forms[method]
-    return lookup(df, table.withColumn(out, value), [*by, column], [out], hot_rows=hot_rows)
+    return lookup(df, table.withColumn(out, value), [*by, column], [out], "__n", hot_rows)
 
 
 def _with_totals(table: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -62,5 +62,5 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], metric: str, k: int, name:
     distinct = known.groupBy(*[col(b) for b in by], col(metric)).agg(F.count(F.lit(1)).alias("__n"))
     # A filtered row_number also runs before the shuffle, so a hot group sends k rows per task.
     best = distinct.withColumn(name, F.row_number().over(w)).where(col(name) <= k)
-    return lookup(known, best, [*by, metric], [name]).where(col(name).isNotNull())
+    return lookup(known, best, [*by, metric], [name], "__n").where(col(name).isNotNull())
 

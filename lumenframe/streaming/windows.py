@@ -13,6 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenframe.functions.columns import col, number
+from lumenframe.operators.ordered import over_rows, running
 from lumenframe.operators.quality import violates
 
 
@@ -39,12 +40,29 @@ def windowed_kpis(df: DataFrame, time: str, by: Sequence[str], metric: str, size
                       *[col(b) for b in by], "n", "total", "mean")
 
 
-def sessions(df: DataFrame, time: str, user: str, metric: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events and total per user session; a session ends after ``gap`` without an event."""
-    events = _event_time(df, time, late)
-    out = events.groupBy(F.session_window(col(time), gap).alias("w"), col(user)).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(number(events, metric)).alias("total"))
-    return out.select(col(user), F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
+def sessions(df: DataFrame, time: str, user: str, metric: str, gap: str = "30 minutes", late: str = "10 minutes",
+             key: str | None = None) -> DataFrame:
+    """Events and total per user session; a session ends after ``gap`` without an event.
+
+    A batch table needs a unique ``key``: sessions are then numbered with ordered scans, so the
+    events of a hot user are not brought to one task.
+    """
+    if df.isStreaming:
+        events = _event_time(df, time, late)
+        out = events.groupBy(F.session_window(col(time), gap).alias("w"), col(user)).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(number(events, metric)).alias("total"))
+        return out.select(col(user), F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
+    if key is None:
+        raise ValueError("sessions of a batch table need key")
+    order = [time, key]
+    events = df.where(col(time).isNotNull()).select(col(user), col(time), col(key), number(df, metric).alias("__v"))
+    spaced = over_rows(events, {}, 0, 0, order, [user], shifts={"__previous": (time, 1)})
+    starts = (F.col("__previous").isNull() | (col(time) >= F.col("__previous") + F.expr(f"INTERVAL {gap}"))).cast("int")
+    numbered = running(spaced.withColumn("__new", starts), {"__session": ("sum", "__new")}, order, [user])
+    out = numbered.groupBy(col(user), "__session").agg(
+        F.min(col(time)).alias("session_start"), (F.max(col(time)) + F.expr(f"INTERVAL {gap}")).alias("session_end"),
+        F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"))
+    return out.drop("__session")
 
 
 def rule_violations(df: DataFrame, time: str, rules: Sequence[Mapping], size: str = "1 hour",
