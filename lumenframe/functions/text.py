@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.functions.columns import col
 
-# The masking patterns of the secret filter, with their replacements.
+# The masking patterns of the secret filter, with their replacements, and texts
+# one of which a value (in small letters) must hold for the pattern to match at all.
 SECRET_PATTERNS = [
-    (r"(?i)([a-zA-Z0-9_+.-]+://[^:]+:)([^@\s]+)(@)", "$1********$3"),
+    (r"(?i)([a-zA-Z0-9_+.-]+://[^:]+:)([^@\s]+)(@)", "$1********$3", ["://"]),
     (r"""(?i)((?:password|pwd|secret|token|api[_-]?key|private[_-]?key|auth)\s*[:=]\s*["']?)([^"'\s,;}]+)(["']?)""",
-     "$1********$3"),
-    (r"(?i)(Bearer\s+)[a-zA-Z0-9_\-\.]{15,}", "$1[REDACTED_BEARER_TOKEN]"),
+     "$1********$3", ["password", "pwd", "secret", "token", "api", "private", "auth"]),
+    (r"(?i)(Bearer\s+)[a-zA-Z0-9_\-\.]{15,}", "$1[REDACTED_BEARER_TOKEN]", ["bearer"]),
     (r"(?s)-----BEGIN [A-Z ]+PRIVATE KEY-----[^-]+-----END [A-Z ]+PRIVATE KEY-----",
-     "[REDACTED_PRIVATE_KEY_BLOCK]"),
+     "[REDACTED_PRIVATE_KEY_BLOCK]", ["private key"]),
 ]
 
 
@@ -69,9 +72,14 @@ def repair_unicode(c: Column) -> Column:
 
 
 def mask_secrets(c: Column) -> Column:
-    """Connection strings, key=value secrets, bearer tokens and key blocks masked."""
-    for pattern, replacement in SECRET_PATTERNS:
-        c = F.regexp_replace(c, pattern, replacement)
+    """Connection strings, key=value secrets, bearer tokens and key blocks masked.
+
+    A plain text search decides first whether the costly pattern can match.
+    """
+    for pattern, replacement, marks in SECRET_PATTERNS:
+        small = F.lower(c)
+        possible = reduce(lambda a, b: a | b, [F.contains(small, F.lit(m)) for m in marks])
+        c = F.when(possible, F.regexp_replace(c, pattern, replacement)).otherwise(c)
     return c
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenframe.functions.columns import (
     col, number, numeric_columns, require, safe_div, safe_name, string_columns, time_columns, to_time)
 from lumenframe.functions.dates import is_weekend, season
-from lumenframe.operators.ordered import over_rows
+from lumenframe.operators.ordered import layout, over_rows
 from lumenframe.operators.profile import feature_categories, value_facts, wide_facts
 from lumenframe.operators.ranks import lookup, value_ranks
 from lumenframe.operators.regression import polynomial_terms
@@ -131,6 +131,7 @@ def rolling_features(df: DataFrame, column: str, window: int, order_by, partitio
                      operations: Sequence[str] = ("mean", "std"), **scan) -> DataFrame:
     """Rolling mean and deviation (0 for one row); percent change with 0 in the first row."""
     specs = {}
+    scan.setdefault("shared", layout(df, order_by, partition_by, scan.get("ranges")))
     if "mean" in operations:
         specs[f"{column}_roll_mean_{window}"] = F.avg(col(column))
     if "std" in operations:
@@ -148,9 +149,15 @@ def rolling_features(df: DataFrame, column: str, window: int, order_by, partitio
 def text_features(df: DataFrame, column: str) -> DataFrame:
     """Characters, words, digits, and (positive - negative) / both over the distinct words."""
     text = F.coalesce(col(column).cast("string"), F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"((?U)\w+)"), F.lit(1)))
-    pos = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in POSITIVE_WORDS])))
-    neg = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in NEGATIVE_WORDS])))
+
+    small = F.lower(text)
+
+    def hits(words: Sequence[str]) -> Column:
+        """How many of the words occur; the pattern runs only where the letters occur at all."""
+        return sum((F.when(F.contains(small, F.lit(w)), F.regexp_like(small, F.lit(rf"(?U)\b{w}\b")).cast("int")).otherwise(0)
+                    for w in words), F.lit(0))
+
+    pos, neg = hits(POSITIVE_WORDS), hits(NEGATIVE_WORDS)
     score = F.coalesce(F.bround(safe_div((pos - neg).cast("double"), pos + neg), 2), F.lit(0.0))
     return df.withColumns({
         f"{column}_char_count": F.length(text),

@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenframe.functions import dist
 from lumenframe.functions.columns import col, number, safe_div
 from lumenframe.operators.ordered import running
+from lumenframe.session import ensure_checkpoint_dir
 
 
 def _two_sides(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """(value, na, nb): both samples folded by value."""
+    """(value, na, nb): both samples folded by value, written once because it is read several times."""
+    ensure_checkpoint_dir(df.sparkSession)
     return (df.select(F.explode(F.array(F.struct(a.alias("v"), F.lit(1).alias("s")),
                                         F.struct(b.alias("v"), F.lit(2).alias("s")))).alias("x"))
             .select("x.v", "x.s").where("v is not null").groupBy("v")
-            .agg(F.count_if(F.col("s") == 1).alias("na"), F.count_if(F.col("s") == 2).alias("nb")))
+            .agg(F.count_if(F.col("s") == 1).alias("na"), F.count_if(F.col("s") == 2).alias("nb")).checkpoint())
 
 
 def _samples(df: DataFrame, value: str, by: str | None, groups: Sequence | None, other: str | None):
@@ -137,8 +139,9 @@ def mann_whitney(df: DataFrame, value: str, by: str | None = None, groups: Seque
 
 def kruskal_wallis(df: DataFrame, value: str, by: str, min_rows: int = 3) -> DataFrame:
     """H over the groups with at least three values, corrected for ties."""
+    ensure_checkpoint_dir(df.sparkSession)
     folded = (df.dropna(subset=[by]).select(col(by).alias("g"), number(df, value).alias("v")).where("v is not null")
-              .groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
+              .groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))).checkpoint()
     sizes = folded.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") >= min_rows)
     kept = folded.join(sizes, "g")
     values = kept.groupBy("v").agg(F.sum("n").alias("m"))
@@ -157,9 +160,10 @@ def kruskal_wallis(df: DataFrame, value: str, by: str, min_rows: int = 3) -> Dat
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed ranks of the pair differences, zeros left out, normal p with tie correction."""
+    ensure_checkpoint_dir(df.sparkSession)
     d = number(df, a) - number(df, b)
     folded = df.select(d.alias("d")).where("d is not null and d <> 0").groupBy(F.abs("d").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up")).checkpoint()
     ranked = running(folded, {"upto": ("sum", "n")}, "v")
     mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
     s = ranked.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("up") * mean_rank).alias("plus"),

@@ -27,6 +27,7 @@ from lumenframe.operators.features import encode_for_models, model_features
 from lumenframe.operators.ordered import running, with_row_number
 from lumenframe.operators.profile import automl_types, value_facts
 from lumenframe.operators.quality import target_leakage
+from lumenframe.session import ensure_checkpoint_dir
 
 LABEL, FEATURES, PARTS = "label", "features", 1_000_000
 # Text columns with more values than this are hashed instead of getting a 0/1 column per value.
@@ -236,8 +237,9 @@ def classification_metrics(df: DataFrame, score: str | None = None, label: str =
 
 def _score_table(df: DataFrame, score: str, label: str) -> DataFrame:
     """Distinct scores from the highest down, with running true and false positives."""
+    ensure_checkpoint_dir(df.sparkSession)
     folded = df.where(col(score).isNotNull()).groupBy(col(score).alias("score")).agg(
-        F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg"))
+        F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg")).checkpoint()
     return running(folded, {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, [("score", False)])
 
 

@@ -146,16 +146,31 @@ class Ordered(NamedTuple):
         return local.join(carry, same, "left")
 
 
-def cut(df: DataFrame, order_by, partition_by: Sequence[str] = (), ranges: int | None = None) -> Ordered:
-    keys = sort_keys(order_by)
-    part = list(partition_by)
+class Layout(NamedTuple):
+    """Range bounds of a sort key, to be shared by several operators over the same rows."""
+
+    bounds: list[tuple]
+    rows: int
+
+
+def layout(df: DataFrame, order_by, partition_by: Sequence[str] = (), ranges: int | None = None) -> Layout:
+    """Counts the rows and samples the sort key: two light jobs that read the key columns only."""
+    keys, part = sort_keys(order_by), list(partition_by)
     require(df, part + [k.name for k in keys])
-    df = normalise_missing(df)
+    full = [SortKey(p) for p in part] + keys
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clean = normalise_missing(df.select(*[col(n) for n in dict.fromkeys(k.name for k in full)]))
+    rows = clean.count()
+    return Layout(_bounds(clean, full, ranges, rows) if ranges > 1 and rows else [], rows)
+
+
+def cut(df: DataFrame, order_by, partition_by: Sequence[str] = (), ranges: int | None = None,
+        shared: Layout | None = None) -> Ordered:
+    keys, part = sort_keys(order_by), list(partition_by)
+    plan = shared or layout(df, order_by, partition_by, ranges)
+    df = normalise_missing(df)
     full = [SortKey(p) for p in part] + keys
-    rows = df.count()
-    bounds = _bounds(df, full, ranges, rows) if ranges > 1 and rows else []
-    return Ordered(df.withColumn(RANGE, _range_of(df, bounds, full)), part, keys, rows)
+    return Ordered(df.withColumn(RANGE, _range_of(df, plan.bounds, full)), part, keys, plan.rows)
 
 
 _RUNNING = {
@@ -171,7 +186,7 @@ _PREFIX = {"sum": F.sum, "count": F.sum, "prod": F.product, "min": F.min, "max":
 
 def running(df: DataFrame, specs: Mapping[str, tuple[str, str]], order_by,
             partition_by: Sequence[str] = (), row_number: str | None = None,
-            ranges: int | None = None) -> DataFrame:
+            ranges: int | None = None, shared: Layout | None = None) -> DataFrame:
     """Running aggregates up to and with each row; one shuffle of the table.
 
     ``specs`` maps an output name to (sum | count | prod | min | max | mean, column).
@@ -184,7 +199,7 @@ def running(df: DataFrame, specs: Mapping[str, tuple[str, str]], order_by,
             basic[out] = (fn, column)
         else:
             raise ValueError(f"unknown running function: {fn}")
-    o = cut(df, order_by, partition_by, ranges)
+    o = cut(df, order_by, partition_by, ranges, shared)
     upto = o.window.rowsBetween(W.unboundedPreceding, 0)
     local = o.df.select(
         "*", F.row_number().over(o.window).alias("__local"),
@@ -225,9 +240,9 @@ class Blocks(NamedTuple):
 
 
 def blocks(df: DataFrame, order_by, partition_by: Sequence[str] = (), reach: int = 0,
-           block_rows: int = BLOCK_ROWS, ranges: int | None = None) -> Blocks:
+           block_rows: int = BLOCK_ROWS, ranges: int | None = None, shared: Layout | None = None) -> Blocks:
     """Blocks of at least ``reach`` rows and at most MAX_BLOCKS of them beyond the first of a group."""
-    o = cut(df, order_by, partition_by, ranges)
+    o = cut(df, order_by, partition_by, ranges, shared)
     local = o.df.withColumn("__local", F.row_number().over(o.window))
     joined = o.attach(local, o.carries({}, {}))
     length = max(block_rows, -(-o.rows // MAX_BLOCKS), reach, 1)
@@ -251,28 +266,29 @@ def _with_halo(b: Blocks, before: int, after: int) -> DataFrame:
 def over_rows(df: DataFrame, specs: Mapping[str, Column], before: int, after: int, order_by,
               partition_by: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
               ranges: int | None = None, shifts: Mapping[str, tuple[str, int]] | None = None,
-              keep_row_number: bool = False) -> DataFrame:
+              shared: Layout | None = None) -> DataFrame:
     """Aggregates over the frame from ``before`` rows back to ``after`` rows on, plus lags and leads."""
     shifts = shifts or {}
     reach_back = max([before] + [k for _, k in shifts.values()])
     reach_on = max([after] + [-k for _, k in shifts.values()])
-    b = blocks(df, order_by, partition_by, max(reach_back, reach_on), block_rows, ranges)
+    b = blocks(df, order_by, partition_by, max(reach_back, reach_on), block_rows, ranges, shared)
     frame = b.window.rowsBetween(-before, after)
     out = _with_halo(b, reach_back, reach_on).select(
         "*", *[c.over(frame).alias(n) for n, c in specs.items()],
         *[F.lag(col(c), k).over(b.window).alias(n) for n, (c, k) in shifts.items()])
-    keep = [*df.columns, *specs, *shifts] + ([RN] if keep_row_number else [])
+    keep = [*df.columns, *specs, *shifts]
     return out.where(F.col(TARGET) == F.col(BLOCK)).select(*[col(c) for c in keep])
 
 
 def fill(df: DataFrame, specs: Mapping[str, tuple[str, str]], order_by, partition_by: Sequence[str] = (),
-         block_rows: int = BLOCK_ROWS, ranges: int | None = None, keep_position: bool = False) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, ranges: int | None = None, keep_position: bool = False,
+         shared: Layout | None = None) -> DataFrame:
     """Last known value before a gap ("forward") or next known value after it ("backward").
 
     ``specs`` maps an output name to (column, direction). With ``keep_position`` the results
     are structs (v, at) with the row number the value came from, and the row number is kept.
     """
-    b = blocks(df, order_by, partition_by, 0, block_rows, ranges)
+    b = blocks(df, order_by, partition_by, 0, block_rows, ranges, shared)
     rows = b.df.withColumn(TARGET, F.col(BLOCK))
     known = {n: F.when(col(c).isNotNull(), F.struct(col(c).alias("v"), F.col(RN).alias("at")))
              for n, (c, _) in specs.items()}

@@ -47,21 +47,40 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _number_table(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """(column, value, n) of number columns in their own type, which is cheaper than text."""
+    clean = normalise_missing(df.select(*[col(c) for c in columns]))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(kind).alias("value")) for c in columns])
+    long = clean.select(F.explode(pairs).alias("x")).select("x.column", "x.value").where("value is not null")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_facts(df: DataFrame, columns: Sequence[str], rare_below: float | None = None) -> dict[str, dict]:
-    """Distinct count, top value and its count per column; one row per column to the driver."""
-    if not columns:
-        return {}
-    table = value_table(df, columns)
+    """Distinct count and, for text, the top value with its count; one row per column to the driver."""
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    real = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    other = [c for c in columns if c not in whole and c not in real]
+    out: dict[str, dict] = {c: {"column": c, "unique": 0, "top_n": 0, "top": None, "rare": 0} for c in columns}
+    counted = None
+    for names, kind in ((whole, "bigint"), (real, "double")):
+        if names:
+            one = _number_table(df, names, kind).groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_n"))
+            counted = one if counted is None else counted.union(one)
+    for r in counted.collect() if counted is not None else []:
+        out[r["column"]] |= {"unique": r["unique"], "top_n": r["top_n"]}
+    if not other:
+        return out
     rare = []
     if rare_below is not None:
-        known = {c: n for c, n in zip(columns, df.agg(*[F.count_if(~is_missing(df, c)) for c in columns]).first())}
-        limits = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(rare_below * known[c]))])
+        known = df.agg(*[F.count_if(~is_missing(df, c)) for c in other]).first()
+        limits = F.create_map(*[x for c, n in zip(other, known) for x in (F.lit(c), F.lit(rare_below * n))])
         rare = [F.count_if(F.col("n") < limits[F.col("column")]).alias("rare")]
-    rows = table.groupBy("column").agg(
+    rows = value_table(df, other).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_n"),
         F.min_by("value", F.struct((-F.col("n")).alias("m"), F.col("value"))).alias("top"), *rare).collect()
-    found = {r["column"]: r.asDict() for r in rows}
-    return {c: found.get(c, {"column": c, "unique": 0, "top_n": 0, "top": None, "rare": 0}) for c in columns}
+    for r in rows:
+        out[r["column"]] |= r.asDict()
+    return out
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -84,14 +103,17 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
 def wide_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
     """Row count and, per column, missing count and moments: one aggregate."""
     numbers = numeric_columns(df)
+    # Values are projected once, so the many aggregates read plain columns.
+    plain = df.select(*[(number(df, c) if c in numbers else F.when(is_missing(df, c), F.lit(None)).otherwise(F.lit(1))).alias(f"c{i}")
+                        for i, c in enumerate(df.columns)])
     exprs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
-        exprs.append(F.count_if(is_missing(df, c)).alias(f"m{i}"))
+        v = F.col(f"c{i}")
+        exprs.append(F.count_if(v.isNull()).alias(f"m{i}"))
         if c in numbers:
-            v = number(df, c)
             exprs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"av{i}"),
                       F.stddev_samp(v).alias(f"sd{i}"), unbiased_skew(F.count(v), F.skewness(v)).alias(f"sk{i}")]
-    row = df.agg(*exprs).first()
+    row = plain.agg(*exprs).first()
     out = {}
     for i, c in enumerate(df.columns):
         facts = {"missing": row[f"m{i}"]}
@@ -244,15 +266,11 @@ def constant_columns(df: DataFrame) -> list[str]:
     """Columns with at most one value, null counting as a value: min and max decide, no distinct count."""
     exprs = []
     for c in df.columns:
-        text = col(c).cast("string")
-        exprs += [F.count_if(is_missing(df, c)), F.count(F.lit(1)), F.min(text), F.max(text)]
+        v = col(c).cast("string") if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else col(c)
+        missing = F.count_if(is_missing(df, c))
+        exprs.append((missing == F.count(F.lit(1))) | ((missing == 0) & F.min(v).eqNullSafe(F.max(v))))
     row = df.agg(*exprs).first()
-    out = []
-    for i, c in enumerate(df.columns):
-        missing, total, low, high = row[4 * i:4 * i + 4]
-        if missing == total or (missing == 0 and low == high):
-            out.append(c)
-    return out
+    return [c for c, constant in zip(df.columns, row) if constant]
 
 
 def grade(score: float) -> str:

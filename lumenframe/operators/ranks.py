@@ -12,15 +12,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.functions.columns import col, normalise_missing
 from lumenframe.operators.ordered import running
+from lumenframe.session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), ascending: bool = True,
                 ranges: int | None = None) -> DataFrame:
-    """One row per distinct non-null value: n, rows before it, distinct values up to it."""
+    """One row per distinct non-null value: n, rows before it, distinct values up to it.
+
+    The folded table is read several times and so written to the checkpoint folder once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     counts = (normalise_missing(df).where(col(value).isNotNull())
-              .groupBy(*[col(b) for b in by], col(value)).agg(F.count(F.lit(1)).alias("__n")))
+              .groupBy(*[col(b) for b in by], col(value)).agg(F.count(F.lit(1)).alias("__n"))).checkpoint()
     out = running(counts, {"__upto": ("sum", "__n")}, [(value, ascending)], by,
                   row_number="__dense", ranges=ranges)
     return out.withColumn("__below", F.col("__upto") - F.col("__n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lumenframe.functions.columns import col, safe_div
-from lumenframe.operators.ordered import fill, over_rows, running
+from lumenframe.operators.ordered import fill, layout, over_rows, running
 from lumenframe.operators.ranks import lookup
 
 _ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
@@ -46,6 +46,7 @@ def pct_change(df: DataFrame, column: str, periods: int, order_by, partition_by:
                name: str | None = None, **scan) -> DataFrame:
     """Relative change to ``periods`` rows back, after filling gaps forward."""
     out = name or f"{column}_pct_change"
+    scan.setdefault("shared", layout(df, order_by, partition_by, scan.get("ranges")))
     filled = fill(df, {"__filled": (column, "forward")}, order_by, partition_by, **scan)
     shifted = over_rows(filled, {}, 0, 0, order_by, partition_by, shifts={"__back": ("__filled", periods)}, **scan)
     change = safe_div((F.col("__filled") - F.col("__back")).cast("double"), F.col("__back"))

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenframe.functions.columns import col, number
-from lumenframe.operators.ordered import over_rows, running
+from lumenframe.operators.ordered import layout, over_rows, running
 from lumenframe.operators.quality import violates
 
 
@@ -56,9 +56,10 @@ def sessions(df: DataFrame, time: str, user: str, metric: str, gap: str = "30 mi
         raise ValueError("sessions of a batch table need key")
     order = [time, key]
     events = df.where(col(time).isNotNull()).select(col(user), col(time), col(key), number(df, metric).alias("__v"))
-    spaced = over_rows(events, {}, 0, 0, order, [user], shifts={"__previous": (time, 1)})
+    plan = layout(events, order, [user])
+    spaced = over_rows(events, {}, 0, 0, order, [user], shifts={"__previous": (time, 1)}, shared=plan)
     starts = (F.col("__previous").isNull() | (col(time) >= F.col("__previous") + F.expr(f"INTERVAL {gap}"))).cast("int")
-    numbered = running(spaced.withColumn("__new", starts), {"__session": ("sum", "__new")}, order, [user])
+    numbered = running(spaced.withColumn("__new", starts), {"__session": ("sum", "__new")}, order, [user], shared=plan)
     out = numbered.groupBy(col(user), "__session").agg(
         F.min(col(time)).alias("session_start"), (F.max(col(time)) + F.expr(f"INTERVAL {gap}")).alias("session_end"),
         F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"))
