@@ -21,8 +21,11 @@ from lumenframe.operators.quantiles import column_quantiles
 from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
 
-PIVOTS = 256
+# Pivots grow with the square root of the points, within these limits.
+PIVOTS = (16, 4_096)
 CHUNK_ROWS = 20_000
+# Numbers held at once by a task that compares rows with pivots.
+HELD = 4_000_000
 SLACK = 1e-9
 
 
@@ -44,10 +47,18 @@ def _pivots(points: DataFrame, count: int) -> np.ndarray:
     return np.array([r["x"] for r in rows], dtype=float)
 
 
+def _blocks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Pieces of the batches small enough to compare with ``width`` numbers per row."""
+    rows = max(1, HELD // max(width, 1))
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start:start + rows]
+
+
 def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot and the distance to it."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _blocks(batches, len(pivots)):
             if len(batch):
                 dist = _distances(_matrix(batch["x"]), pivots)
                 cell = dist.argmin(axis=1)
@@ -56,7 +67,7 @@ def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.mapInPandas(assign, f"{schema}, cell int, away double")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS, chunk_rows: int = CHUNK_ROWS,
+def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int | None = None, chunk_rows: int = CHUNK_ROWS,
              exclude_self: bool = False) -> DataFrame:
     """(query, neighbour, distance) for the k nearest points of every query; ties by smaller id.
 
@@ -70,6 +81,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
     first = W.partitionBy("x").orderBy("id")
     places = points.withColumn("__row", F.row_number().over(first)).where(F.col("__row") <= wanted)
     folded = places.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    if pivots is None:
+        pivots = int(min(PIVOTS[1], max(PIVOTS[0], points.count() ** 0.5)))
     centres = _pivots(folded.select("x"), pivots)
     if not len(centres):
         return queries.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
@@ -86,9 +99,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, pivots: int = PIVOTS
     near_away, near_count = np.array([r["away"] for r in near]), np.array([r["m"] for r in near])
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _blocks(batches, len(near_cell)):
             to_pivot = _distances(_matrix(batch["x"]), centres)
             # A cell's point at distance a from its pivot is at most |q - pivot| + a away.
             reach = to_pivot[:, near_cell] + near_away[None, :]
