@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lumenframe.functions.columns import col, number, require, safe_div
 from lumenframe.operators.ordered import running
 from lumenframe.operators.quantiles import column_quantiles, group_quantiles
+from lumenframe.operators.ranks import lookup
 
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -121,9 +122,10 @@ def box_summary(df: DataFrame, dimension: str, metric: str, factor: float = 1.5)
     value = F.col("__value")
     # Values are folded to counts before meeting the fences, so a hot group is one row per value.
     folded = (df.dropna(subset=[dimension]).select(col(dimension), number(df, metric).alias("__value"))
-              .where(value.isNotNull()).groupBy(dimension, "__value").agg(F.count(F.lit(1)).alias("__n")))
+              .where(value.isNotNull()).groupBy(col(dimension), "__value").agg(F.count(F.lit(1)).alias("__n")))
     outside = (value < F.col("q1") - reach) | (value > F.col("q3") + reach)
-    return folded.join(fences, dimension).groupBy(dimension, "min", "q1", "median", "q3", "max").agg(
+    names = ["min", "q1", "median", "q3", "max"]
+    return lookup(folded, fences, [dimension], names).groupBy(col(dimension), *names).agg(
         F.sum("__n").alias("n"), F.coalesce(F.sum(F.when(outside, F.col("__n"))), F.lit(0)).alias("outliers"))
 
 

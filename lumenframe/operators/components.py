@@ -12,7 +12,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
 
     ``nodes`` has a column node, ``edges`` a and b. Every round replaces an edge by edges to the
     smaller ends (large star, then small star), which halves distances instead of walking them;
-    lineage is cut with a reliable checkpoint, so a lost executor costs one round at most.
+    lineage is cut with a reliable checkpoint, so a lost executor costs one round at most. The
+    right side of every join has one row per node, so adaptive execution can split a hub's edges.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
 

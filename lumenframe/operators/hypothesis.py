@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenframe.functions import dist
 from lumenframe.functions.columns import col, number, safe_div
 from lumenframe.operators.ordered import running
+from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
 
 
@@ -143,11 +144,11 @@ def kruskal_wallis(df: DataFrame, value: str, by: str, min_rows: int = 3) -> Dat
     folded = (df.dropna(subset=[by]).select(col(by).alias("g"), number(df, value).alias("v")).where("v is not null")
               .groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))).checkpoint()
     sizes = folded.groupBy("g").agg(F.sum("n").alias("size")).where(F.col("size") >= min_rows)
-    kept = folded.join(sizes, "g")
+    kept = lookup(folded, sizes, ["g"], ["size"]).where("size is not null")
     values = kept.groupBy("v").agg(F.sum("n").alias("m"))
     ranked = running(values, {"upto": ("sum", "m")}, "v")
     mean_rank = F.col("upto") - F.col("m") + (F.col("m") + 1) / 2
-    by_group = kept.join(ranked.select("v", mean_rank.alias("rank")), "v").groupBy("g").agg(
+    by_group = lookup(kept, ranked.select("v", mean_rank.alias("rank")), ["v"], ["rank"]).groupBy("g").agg(
         F.max("size").cast("double").alias("size"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     ties = values.agg(F.sum(_ties(F.col("m")))).scalar()
     s = by_group.agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("n"),

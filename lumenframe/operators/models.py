@@ -27,6 +27,7 @@ from lumenframe.operators.features import encode_for_models, model_features
 from lumenframe.operators.ordered import running, with_row_number
 from lumenframe.operators.profile import automl_types, value_facts
 from lumenframe.operators.quality import target_leakage
+from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
 
 LABEL, FEATURES, PARTS = "label", "features", 1_000_000
@@ -52,11 +53,14 @@ def split(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42)
 
 def split_stratified(df: DataFrame, target: str, key: Sequence[str], test: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The smallest hashes of each class are held out, the same share of every class to the row."""
+    """The smallest hashes of each class are held out, the same share of every class to the row.
+
+    Rows without a class are in neither part.
+    """
     hashed = df.withColumn("__hash", F.xxhash64(*[col(k) for k in key], F.lit(seed)))
     numbered = with_row_number(hashed, ["__hash", *key], [target], "__row").drop("__hash")
-    sizes = df.groupBy(col(target).alias("__class")).agg(F.count(F.lit(1)).alias("__size"))
-    marked = numbered.join(F.broadcast(sizes), col(target).eqNullSafe(F.col("__class"))).drop("__class")
+    sizes = df.where(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("__size"))
+    marked = lookup(numbered.where(col(target).isNotNull()), sizes, [target], ["__size"], "__size")
     held = F.col("__row") <= F.round(F.col("__size") * test)
     return marked.where(~held).drop("__row", "__size"), marked.where(held).drop("__row", "__size")
 

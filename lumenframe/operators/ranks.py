@@ -101,13 +101,8 @@ def rank(df: DataFrame, column: str, method: str = "dense", ascending: bool = Fa
 
 
 def _with_totals(table: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    if not by:
-        return table.withColumn("__all", totals.scalar())
-    renamed = totals.select(*[col(b).alias(f"__g{i}") for i, b in enumerate(by)], "__all")
-    same = F.lit(True)
-    for i, b in enumerate(by):
-        same = same & col(b).eqNullSafe(F.col(f"__g{i}"))
-    return table.join(renamed, same)
+    """The group's total on each of its rows; a group with very many values is no hot spot."""
+    return lookup(table, totals, by, ["__all"]) if by else table.withColumn("__all", totals.scalar())
 
 
 def average_rank() -> Column:

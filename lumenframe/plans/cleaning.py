@@ -197,7 +197,9 @@ def outlier_table(spark, d):
 
 
 @query("K7_quick_profile", f"""
-select cast(n as bigint) as rows, 5 as columns, 3 as numeric_columns, cast(missing as bigint) as missing_cells from {COUNTS}""")
+select cast(n as bigint) as rows, 5 as columns, cast(missing as bigint) as missing_cells,
+  cast((select sum((u >= 12 or 100.0 * u / n >= 5)::int) from (select unnest([count(distinct l_suppkey), count(distinct l_linenumber), count(distinct quantity),
+    count(distinct price)]) as u from {DIRTY})) as int) as numeric_columns from {COUNTS}""")
 def quick(spark, d):
     return pf.quick_profile(dirty(spark, d)).select("rows", "columns", F.col("numeric_columns").cast("int"), "missing_cells")
 
@@ -297,9 +299,13 @@ def leakage_text(spark, d):
     return show(ql.target_leakage(t, "o_orderstatus"))
 
 
-@query("K16_id_and_constant_columns", """
-select 'id' as kind, 'o_orderkey' as "column" where (select count(distinct o_orderkey) = count(*) from orders)
-union all select 'constant', 'fixed' where (select count(*) > 0 from orders)""")
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "'x'"]
+
+
+@query("K16_id_and_constant_columns", " union all ".join(
+    f"""select 'id' as kind, '{c.replace("'x'", 'fixed')}' as "column" from (select count(distinct {c}) as u, count(*) as n from orders) where u = n
+    union all select 'constant', '{c.replace("'x'", 'fixed')}' from (select count(distinct {c}) as u, count(*) - count({c}) as gaps, count(*) as n from orders)
+    where gaps = n or (gaps = 0 and u = 1)""" for c in ORDER_COLUMNS))
 def ids(spark, d):
     t = table(spark, d, "orders").withColumn("fixed", F.lit("x"))
     rows = [("id", c) for c in pf.id_columns(t)] + [("constant", c) for c in pf.constant_columns(t)]
