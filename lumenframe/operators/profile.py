@@ -47,39 +47,34 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _number_table(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """(column, value, n) of number columns in their own type, which is cheaper than text."""
-    clean = normalise_missing(df.select(*[col(c) for c in columns]))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(kind).alias("value")) for c in columns])
-    long = clean.select(F.explode(pairs).alias("x")).select("x.column", "x.value").where("value is not null")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def value_facts(df: DataFrame, columns: Sequence[str], rare_below: float | None = None) -> dict[str, dict]:
-    """Distinct count and, for text, the top value with its count; one row per column to the driver."""
-    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
-    real = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
-    other = [c for c in columns if c not in whole and c not in real]
+    """Distinct count, largest count and, for text, the top and rare values; one row per column to the driver.
+
+    Values keep their type (number columns are not turned into text), all columns in one scan.
+    """
     out: dict[str, dict] = {c: {"column": c, "unique": 0, "top_n": 0, "top": None, "rare": 0} for c in columns}
-    counted = None
-    for names, kind in ((whole, "bigint"), (real, "double")):
-        if names:
-            one = _number_table(df, names, kind).groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_n"))
-            counted = one if counted is None else counted.union(one)
-    for r in counted.collect() if counted is not None else []:
-        out[r["column"]] |= {"unique": r["unique"], "top_n": r["top_n"]}
-    if not other:
+    if not columns:
         return out
-    rare = []
+
+    def typed(c: str) -> list[Column]:
+        kind = df.schema[c].dataType
+        whole, real = isinstance(kind, T.IntegralType), isinstance(kind, (T.DoubleType, T.FloatType))
+        return [col(c).cast("bigint") if whole else F.lit(None).cast("bigint"), col(c).cast("double") if real else F.lit(None).cast("double"),
+                F.lit(None).cast("string") if whole or real else col(c).cast("string")]
+
+    clean = normalise_missing(df.select(*[col(c) for c in columns]))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), *[v.alias(n) for v, n in zip(typed(c), ("w", "r", "t"))])
+                      for i, c in enumerate(columns)])
+    long = clean.select(F.explode(cells).alias("x")).select("x.*").where("w is not null or r is not null or t is not null")
+    folded = long.groupBy("i", "w", "r", "t").agg(F.count(F.lit(1)).alias("n"))
+    facts = [F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_n"),
+             F.min_by("t", F.struct((-F.col("n")).alias("m"), F.col("t"))).alias("top")]
     if rare_below is not None:
-        known = df.agg(*[F.count_if(~is_missing(df, c)) for c in other]).first()
-        limits = F.create_map(*[x for c, n in zip(other, known) for x in (F.lit(c), F.lit(rare_below * n))])
-        rare = [F.count_if(F.col("n") < limits[F.col("column")]).alias("rare")]
-    rows = value_table(df, other).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_n"),
-        F.min_by("value", F.struct((-F.col("n")).alias("m"), F.col("value"))).alias("top"), *rare).collect()
-    for r in rows:
-        out[r["column"]] |= r.asDict()
+        known = df.agg(*[F.count_if(~is_missing(df, c)) for c in columns]).first()
+        limits = F.array(*[F.lit(rare_below * n) for n in known])
+        facts.append(F.count_if(F.col("n") < F.element_at(limits, F.col("i") + 1)).alias("rare"))
+    for r in folded.groupBy("i").agg(*facts).collect():
+        out[columns[r["i"]]] |= {k: v for k, v in r.asDict().items() if k != "i"}
     return out
 
 
