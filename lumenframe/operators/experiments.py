@@ -131,7 +131,7 @@ def required_size(baseline: DataFrame, value: str, mde_pct: float, kind: str = "
         expected = base * (1 + mde_pct / 100)
         half = F.abs(base) * 0.5
         sd = F.when(number(baseline, std) > 0, number(baseline, std)).otherwise(half) if std else half
-        n = safe_div(2 * z * z, F.pow(safe_div(F.abs(base * mde_pct / 100), sd), 2))
+        n = safe_div(F.lit(2 * z * z), F.pow(safe_div(F.abs(base * mde_pct / 100), sd), 2))
     else:
         raise ValueError(f"unknown kind: {kind}")
     return baseline.withColumns({"expected": expected, "n_per_arm": F.ceil(n).cast("long")}).withColumn(
