@@ -75,10 +75,3 @@ def date_transform(df: DataFrame, column: str, operation: str, new_name: str | N
     else:
         raise ValueError(f"unknown date operation: {operation}")
     return df.withColumn(new_name or f"{column}_{operation}", out)
-
-
-def detect_date_format(samples: list[str]) -> bool:
-    """Do these values all begin like an ISO date?"""
-    import re
-
-    return bool(samples) and all(re.match(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}", s) for s in samples)
