@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenframe.llm.mixing import mix
+from lumenframe.llm.near_text import near_text
 from lumenframe.llm.packing import pack
+from lumenframe.llm.quality import quality_scores
 from lumenframe.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +32,65 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
 
+DOMAIN = "case when substring(md5(coalesce(source, '')), 1, 1) < '8' then 'books' else 'web' end"
+LEVELS = {"domain": DOMAIN, "lang": "lang", "source": "source"}
+WEIGHTS = [{"books": 3, "web": 2}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {}]
+
+
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    return mix(docs, LEVELS, WEIGHTS, budget=0.9, epochs=2).select(
+        "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+def level_sql(name: str, parent: str, above: list[str], level: str, weight: str) -> str:
+    """One level of the budget's way down, in SQL."""
+    keys = ", ".join([*above, level])
+    siblings = f"partition by {', '.join(above)}" if above else ""
+    joined = f"join {parent} p using ({', '.join(above)})" if above else f"cross join {parent} p"
+    return f"""
+  {name}_n as (select {', '.join(f'x.{c}' for c in [*above, level])}, x.room, p.given as total, {weight} as w
+    from (select {keys}, sum(room) as room from room group by {keys}) x {joined}),
+  {name}_f as (select *, coalesce(sum(room) over ({siblings} order by room / w, {level} rows between unbounded preceding and 1 preceding), 0)
+      + room / w * sum(w) over ({siblings} order by room / w, {level} rows between current row and unbounded following) <= total as is_full from {name}_n),
+  {name} as (select {keys}, case when is_full then room else (total - sum(case when is_full then room else 0 end) over ({siblings})) * w
+      / sum(case when is_full then 0 else w end) over ({siblings}) end as given from {name}_f)"""
+
+
+def weight_sql(column: str, weights: dict[str, float]) -> str:
+    cases = "".join(f" when x.{column} = '{k}' then {float(v)}::double" for k, v in weights.items())
+    return f"case{cases} else 1.0::double end" if cases else "1.0::double"
+
+
+SQL["op5_mixing"] = f"""
+with d as (select doc_id, lang, source, {DOMAIN} as domain, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::bigint as n,
+      md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as place from documents),
+  room as (select domain, lang, source, sum(n)::bigint as tokens, (sum(n) * 2)::double as room from d group by all),
+  top as (select least(sum(room), floor(sum(tokens) * 0.9::double)) as given from room),
+  {level_sql("one", "top", [], "domain", weight_sql("domain", WEIGHTS[0])).strip()},
+  {level_sql("two", "one", ["domain"], "lang", weight_sql("lang", WEIGHTS[1])).strip()},
+  {level_sql("three", "two", ["domain", "lang"], "source", weight_sql("source", WEIGHTS[2])).strip()},
+  leaf as (select domain, lang, source, tokens, floor(given + 1e-6)::bigint as given, (floor(given + 1e-6)::bigint // tokens)::int as whole
+    from three join room using (domain, lang, source)),
+  placed as (select d.*, whole, given - whole * tokens as rest, md5('11:' || whole::varchar || ':' || place) as hash
+    from d join leaf using (domain, lang, source)),
+  run as (select *, sum(n) over (partition by domain, lang, source order by hash range between unbounded preceding and current row) as upto from placed),
+  used as (select *, whole + (rest > 0 and upto <= rest)::int as times from run)
+select doc_id, domain, lang, source, n as n_tokens, e::int as epoch from used, range(1, 3) r(e) where e <= times
+"""
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
+
+
+@query
+def op9_near_text(spark: SparkSession, folder: str) -> DataFrame:
+    return near_text(table(spark, folder, "documents", "doc_id", "text")).drop("body_md5")
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
