@@ -95,7 +95,7 @@ def describe(rows: DataFrame, n: int) -> DataFrame:
                 key, weight, bands, values = zip(*out)
                 yield pd.DataFrame({"doc": part["doc"].array, "same": part["same"].array, "key": key, "weight": weight, "bands": bands, "values": values})
 
-    return rows.mapInPandas(run, "doc long, same string, key string, weight long, bands array<long>, values binary")
+    return rows.mapInPandas(run, "doc string, same string, key string, weight long, bands array<long>, values binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -152,17 +152,15 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, n: int, threshold: f
     copies = np.concatenate([left["copies"].to_numpy(), [] if same else right["copies"].to_numpy()])
     j = j + (0 if same else len(left))
     links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
-    rank = np.argsort(np.argsort(keys))
-    while True:  # the smallest key that links inside these blocks lead to
-        low = rank.copy()
-        np.minimum.at(low, i, rank[j])
-        np.minimum.at(low, j, rank[i])
-        low = low if (low == rank).all() else np.minimum(low, low[np.argsort(np.argsort(keys)).argsort()[low]])
-        if (low == rank).all():
+    low = np.argsort(np.argsort(keys))  # the smallest key that links inside these blocks lead to, by its rank
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, before[j])
+        np.minimum.at(low, j, before[i])
+        if (low == before).all():
             break
-        rank = low
     has = links > 0
-    yield pd.DataFrame({"key": keys[has], "low": np.sort(keys)[rank[has]], "links": links[has].astype(np.int64)})
+    yield pd.DataFrame({"key": keys[has], "low": np.sort(keys)[low[has]], "links": links[has].astype(np.int64)})
 
 
 def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +177,8 @@ def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: fl
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("same", F.md5("body"))
-    described = written(describe(rows.select("doc", "same", "body"), n), "near-text")
+    # Through pandas the id goes as text: a null among whole numbers would make them floating point.
+    described = written(describe(rows.select(F.col("doc").cast("string"), "same", "body"), n).withColumn("doc", F.col("doc").cast("long")), "near-text")
     texts = (described.where("key is not null").groupBy("key")
              .agg(F.min("doc").alias("first"), F.min(F.struct("doc", "same")).alias("body_of"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("values").alias("values")))
     texts = written(texts, "near-text-keys")
@@ -212,7 +211,8 @@ def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: fl
                 left, right = part[part["block"] == i], part[part["block"] == j]
                 if len(left) and len(right):
                     out += compare(left, right, n, threshold, least)
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "low": [], "links": []}).astype({"links": "int64"})
+        # Object columns: Arrow keeps joined text columns in several chunks, which the way back to Spark does not take.
+        return pd.concat(out).astype({"key": object, "low": object}) if out else pd.DataFrame({"key": [], "low": [], "links": []}).astype({"key": object, "low": object, "links": "int64"})
 
     found = written(met.withColumn("task", task).groupBy("task").applyInPandas(meet, "key string, low string, links long"), "near-text-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -40,7 +40,10 @@ def curve_place(ids: np.ndarray, sizes: np.ndarray, projection: np.ndarray) -> n
 
 
 def encode(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
-    """(doc, place, size, ids) of each row of (doc, body); ids as little-endian bytes of two or four each."""
+    """(doc, place, size, ids) of each row of (doc, body); ids as little-endian bytes of two or four each.
+
+    ``doc`` is text, since a null among whole numbers would turn them into floating point in pandas.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +61,7 @@ def encode(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
                 yield pd.DataFrame({"doc": part["doc"].array, "place": place, "size": sizes + 1,
                                     "ids": [full[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]})
 
-    return docs.mapInPandas(run, "doc long, place long, size long, ids binary")
+    return docs.mapInPandas(run, "doc string, place long, size long, ids binary")
 
 
 def cut(segments: pd.DataFrame, stream: np.ndarray, bounds: np.ndarray, first_sequence: int) -> pd.DataFrame:
@@ -70,7 +73,7 @@ def cut(segments: pd.DataFrame, stream: np.ndarray, bounds: np.ndarray, first_se
     own = np.searchsorted(begin, at, side="right") - 1
     sequence = np.searchsorted(bounds, at, side="right") - 1
     return pd.DataFrame({
-        "doc": segments["doc"].array[own], "start": segments["start"].to_numpy()[own] + at - begin[own], "length": stop - at,
+        "doc": segments["doc"].to_numpy(object)[own], "start": segments["start"].to_numpy()[own] + at - begin[own], "length": stop - at,
         "ids": [stream[a:b].tobytes() for a, b in zip(at, stop)], "doc_tokens": segments["whole"].to_numpy()[own],
         "sequence_id": first_sequence + sequence, "offset": at - bounds[sequence]})
 
@@ -78,12 +81,12 @@ def cut(segments: pd.DataFrame, stream: np.ndarray, bounds: np.ndarray, first_se
 def fill(frames: Iterator[pd.DataFrame], length: int, wide: bool) -> Iterator[pd.DataFrame]:
     """Cuts the documents of one range, in the order in which they come."""
     sequence = TaskContext.get().partitionId() << 40
-    rest, kept = np.zeros(0, "<u4"), pd.DataFrame({"doc": pd.array([], "Int64"), "start": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "whole": np.zeros(0, np.int64)})
+    rest, kept = np.zeros(0, "<u4"), pd.DataFrame({"doc": np.zeros(0, object), "start": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "whole": np.zeros(0, np.int64)})
     for frame in frames:
         for at in range(0, len(frame), GROUP):
             part = frame.iloc[at:at + GROUP]
             new = np.frombuffer(b"".join(part["ids"]), "<u4" if wide else "<u2").astype("<u4")
-            segments = pd.concat([kept, pd.DataFrame({"doc": part["doc"].astype("Int64").array, "start": 0, "size": part["size"].to_numpy(), "whole": part["size"].to_numpy()})], ignore_index=True)
+            segments = pd.concat([kept, pd.DataFrame({"doc": part["doc"].to_numpy(object), "start": 0, "size": part["size"].to_numpy(), "whole": part["size"].to_numpy()})], ignore_index=True)
             stream = np.concatenate([rest, new])
             full = len(stream) // length * length
             if full:
@@ -115,7 +118,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id: st
     Other columns are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     encoded = written(encode(rows, path, end_id, seed), "packing")
     total = encoded.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
@@ -125,8 +128,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id: st
     shared = vocabulary_is_wide(path)
     pieces = dealt.select("doc", "size", "ids").mapInPandas(
         lambda frames: fill(frames, length, shared),
-        "doc long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return pieces.withColumnRenamed("doc", id)
+        "doc string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return pieces.withColumn("doc", F.col("doc").cast(docs.schema[id].dataType)).withColumnRenamed("doc", id)
 
 
 def vocabulary_is_wide(path: str) -> bool:

@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenframe.llm.chat import format_conversations, read_back
 from lumenframe.llm.mixing import mix
 from lumenframe.llm.near_text import near_text
+from lumenframe.llm.near_vectors import near_vectors
+from lumenframe.llm.neighbours import nearest
 from lumenframe.llm.packing import pack
 from lumenframe.llm.quality import quality_scores
 from lumenframe.llm.token_counts import token_counts
@@ -27,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+@query
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
@@ -86,6 +94,31 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
 
 
+@query
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+SQL["op8_near_vectors"] = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  n as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from v),
+  pair as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+  reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, p.b from reach r join pair p on p.a = r.b),
+  low as (select a as vec_id, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from pair where a = vec_id) as n_links, component_id, vec_id = component_id as kept from low
+"""
+
+
+@query
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return read_back(format_conversations(rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(extra)))
+
+
 @query
 def op9_near_text(spark: SparkSession, folder: str) -> DataFrame:
     return near_text(table(spark, folder, "documents", "doc_id", "text")).drop("body_md5")
