@@ -1,7 +1,7 @@
 """License scans: MinHash bands over text windows retrieve templates, exact containment verifies them.
 
-Only DataFrame functions. A template of t shingles looks at windows of t + s - 1 shingles, s apart
-(s is an eighth of t), so that one of them holds a whole occurrence. A window that holds the needed
+Only DataFrame functions. A template of t shingles looks at windows of t + s - 1 shingles or a little
+more, s apart (s is a power of two, at most an eighth of t), so that one of them holds a whole occurrence. A window that holds the needed
 share of a template has a Jaccard similarity of at least j with it; with bands of one MinHash value
 each, a template is missed with probability (1 - j)^bands, and the bands are as many as make that
 ``MISS`` at most. Whatever a band retrieves is verified on the window's shingles.
@@ -51,13 +51,13 @@ def bound(value: Column, use) -> Column:
 def shingles_of(words: Column) -> Column:
     """64-bit hashes of all runs of ``WORDS`` words, in order."""
     return bound(words, lambda w: F.when(
-        F.size(w) >= WORDS, F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, WORDS)))).otherwise(F.array().cast("array<bigint>")))
+        F.size(w) >= WORDS, F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(*[w[i - 1 + k] for k in range(WORDS)]))).otherwise(F.array().cast("array<bigint>")))
 
 
 def window_plan(shingles: int) -> tuple[int, int, int, int]:
     """(distance of windows, shingles of a window, shingles needed, bands) for a template's length."""
-    step = max(1, shingles // 8)
-    width, needed = shingles + step - 1, math.ceil(SHARE * shingles - 1e-9)
+    step = 1 << max(0, (shingles // 8).bit_length() - 1)
+    width, needed = -(-(shingles + step - 1) // step) * step, math.ceil(SHARE * shingles - 1e-9)
     j = needed / (width + shingles - needed)
     return step, width, needed, 1 if j == 1 else math.ceil(math.log(MISS) / math.log(1 - j))
 
@@ -83,33 +83,31 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id: str = "doc_
         return docs.select(F.col(id).alias(id)).limit(0).selectExpr(f"`{id}`", "'' as license", "0.0D as containment", "0L as first_word")
     plans = {r.license: window_plan(len(r.shingles)) for r in known}
     kinds = sorted({p[:2] for p in plans.values()})
-    bands = {k: max(p[3] for p in plans.values() if p[:2] == k) for k in kinds}
     # The band index: one row for each template and band.
     index = spark.createDataFrame([(r.license, r.shingles, *plans[r.license]) for r in known], "license string, template array<long>, step int, width int, needed int, bands int")
     index = index.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
-    index = index.select("license", "template", "needed", F.col("step").alias("t_step"), F.col("width").alias("t_width"), F.col("band").alias("t_band"),
-                         F.expr("array_min(transform(template, h -> xxhash64(h, band)))").alias("t_low"))
-    widest = max(w for _, w in kinds)
-    rows = docs.select(F.col(id).alias("doc"), shingles_of(words_of(F.col(text))).alias("all"))
-    starts = F.when(F.size("all") > 0, F.sequence(F.lit(0), F.size("all") - 1, F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda a: F.struct(a.alias("a"), F.slice(F.col("all"), a + 1, SEGMENT + widest).alias("s")))
+    index = index.withColumn("best", F.array_min(F.transform("template", lambda h: F.struct(F.xxhash64(h, F.col("band")).alias("low"), h.alias("h")))))
+    # A window's MinHash value can be a template's only if the window holds the shingle that gives it:
+    # windows without any such shingle need no values.
+    givers = sorted({r.h for r in index.select("best.h").collect()})
+    index = index.select("license", "template", "needed", F.col("step").alias("t_step"), F.col("width").alias("t_width"), F.col("band").alias("t_band"), F.col("best.low").alias("t_low"))
+    widest, most = max(w for _, w in kinds), max(p[3] for p in plans.values())
+    rows = docs.select(F.col(id).alias("doc"), shingles_of(words_of(F.col(text))).alias("all")).where(F.exists("all", lambda h: h.isin(givers)))
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(SEGMENT))
+    parts = F.transform(starts, lambda a: F.struct(a.alias("a"), F.slice("all", a + 1, F.lit(SEGMENT + widest)).alias("s")))
     rows = rows.select("doc", F.explode(parts).alias("part")).select("doc", "part.a", "part.s")
-    layout = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(w).alias("width"), F.lit(bands[s, w]).alias("bands")) for s, w in kinds])
-    rows = rows.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(max(bands.values()) - 1))))
-
-    def windows(kind: Column, hashes: Column) -> Column:
-        """Windows of one kind that start in the segment: at whole multiples of the step in the text."""
-        step, first = kind["step"], F.ceil(F.col("a") / kind["step"]).cast("int")
-        last = F.floor((F.col("a") + F.least(F.lit(SEGMENT), F.size("s")) - 1) / step).cast("int")
-        return F.when(last >= first, F.transform(F.sequence(first, last), lambda k: F.struct(
-            step.alias("step"), kind["width"].alias("width"), (k * step).alias("at"),
-            F.array_min(F.slice(hashes, k * step - F.col("a") + 1, kind["width"])).alias("low"),
-            F.slice(F.col("s"), k * step - F.col("a") + 1, kind["width"]).alias("held"))))
-
-    every = bound(F.transform("s", lambda h: F.xxhash64(h, F.col("band"))), lambda hashes: F.flatten(F.transform(
-        F.filter(layout, lambda kind: kind["bands"] > F.col("band")), lambda kind: F.coalesce(windows(kind, hashes), F.array().cast(
-            "array<struct<step:int,width:int,at:int,low:bigint,held:array<bigint>>>")))))
-    seen = rows.select("doc", "band", F.explode(every).alias("w")).select("doc", "band", "w.*")
+
+    def around(p: Column, step: int, width: int) -> Column:
+        """The windows of one kind that start in the segment and hold the shingle at place p of it."""
+        first = F.greatest(F.ceil((F.col("a") + p - width + 1) / step), F.ceil(F.col("a") / step)).cast("int")
+        last = F.floor((F.col("a") + F.least(p, F.lit(SEGMENT - 1))) / step).cast("int")
+        return F.when(last >= first, F.transform(F.sequence(first, last), lambda k: F.struct(F.lit(step).alias("step"), F.lit(width).alias("width"), (k * step).alias("at")))).otherwise(
+            F.array().cast("array<struct<step:int,width:int,at:int>>"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda p: F.get(F.col("s"), p).isin(givers))
+    windows = F.array_distinct(F.flatten(F.transform(places, lambda p: F.concat(*[around(p, *k) for k in kinds]))))
+    seen = rows.select("doc", "a", "s", F.explode(windows).alias("w")).select("doc", "w.*", F.slice("s", F.col("w.at") - F.col("a") + 1, F.col("w.width")).alias("held"))
+    seen = seen.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("low", F.array_min(F.transform("held", lambda h: F.xxhash64(h, F.col("band")))))
     # As many rows as templates have bands: a bound set by the caller's list, far below the threshold of broadcasts.
     match = (F.col("low") == F.col("t_low")) & (F.col("band") == F.col("t_band")) & (F.col("step") == F.col("t_step")) & (F.col("width") == F.col("t_width"))
     hits = seen.join(F.broadcast(index) if len(known) <= 1_000 else index, match)

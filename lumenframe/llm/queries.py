@@ -55,12 +55,13 @@ SQL["op3_licences"] = f"""
 with template(license, body) as (values {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in TEMPLATES.items())}),
   t_words as (select license, list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda w: w <> '') as w from template),
   t_shingle as (select distinct license, array_to_string(w[i:i + 4], ' ') as s from t_words, range(1, len(w) - 3) r(i)),
-  plan as (select license, count(*) as t, greatest(1, count(*) // 8) as step from t_shingle group by license),
+  size as (select license, count(*) as t, (2 ** floor(log2(greatest(1, count(*) // 8))))::bigint as step from t_shingle group by license),
+  plan as (select *, ((t + step - 1 + step - 1) // step) * step as width from size),
   d_words as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') as w from documents),
   hit as (select doc_id, i - 1 as p, license, s from (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from d_words, range(1, len(w) - 3) r(i)) join t_shingle using (s)),
   held as (select doc_id, license, k * step as start, count(distinct s) / any_value(t)::double as containment
-    from hit join plan using (license), range(greatest(0, (p - (t + step - 1) + step) // step)::bigint, (p // step + 1)::bigint) r(k)
-    where k * step <= p and p < k * step + t + step - 1 group by doc_id, license, k, step)
+    from hit join plan using (license), range(greatest(0, (p - width + step) // step)::bigint, (p // step + 1)::bigint) r(k)
+    where k * step <= p and p < k * step + width group by doc_id, license, k, step)
 select doc_id, license, max(containment) as containment, arg_min(start, {{'c': -containment, 'a': start}})::bigint as first_word
 from held where containment >= 0.8 - 1e-9 group by doc_id, license
 """
