@@ -37,6 +37,11 @@ def unescape(text: str) -> str:
     return _marked.sub(r"\1", text)
 
 
+def arrow_type(kind: str) -> pa.DataType:
+    """Of a conversation's id: a whole number or text."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 class Rows:
     """A stream of rows in order, with one row of look-ahead, dealt out by conversation."""
 
@@ -63,12 +68,13 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, con
     rows = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     kind = rows.schema["conv"].dataType.simpleString()
 
+    schema = pa.schema([("conv", arrow_type(kind)), ("part", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, {"escape": escape})
-        rows, schema = Rows(batches), None
+        rows = Rows(batches)
         while rows.next is not None:
             owner, number, parts, size, spans = rows.next["conv"], 0, [], 0, []
-            schema = schema or pa.schema([("conv", pa.int64() if isinstance(owner, int) or owner is None else pa.string()), ("part", pa.int64()), ("formatted", pa.large_string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
             def closed():
                 return pa.RecordBatch.from_pylist([{"conv": owner, "part": number, "formatted": "".join(parts), "spans": spans}], schema=schema)
@@ -97,12 +103,14 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """
     kind = formatted.schema[conv].dataType.simpleString()
 
+    schema = pa.schema([("conv", arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, state = None, None
 
         def result():
             turns, loss, n, chars, size = state
-            return pa.RecordBatch.from_pylist([{"conv": owner, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size}])
+            return pa.RecordBatch.from_pylist([{"conv": owner, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size}], schema=schema)
 
         for row in (r for b in batches for r in b.to_pylist()):
             if row["part"] == 0:
