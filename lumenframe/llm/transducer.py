@@ -41,17 +41,17 @@ class Transducer:
     """Counts or lists the ids of texts as the tokenizer of a byte-level BPE ``.json`` file does."""
 
     def __init__(self, file: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.loads(file)
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("only byte-level BPE without prefix space or normaliser can be compiled")
+        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError("only byte-level BPE with the usual word pattern, no prefix space and no normaliser can be compiled")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must match plainly")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # Asked for the class of characters it has not seen: its tables may be of another Unicode version than ours.
-        self.library = Tokenizer.from_str(file.decode())
+        self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         symbols = byte_symbols()
         self.bytes_of = {i: bytes(symbols[c] for c in s) for s, i in model["vocab"].items()}
         self.merge_rank: dict[tuple[int, int], int] = {}
@@ -77,13 +77,7 @@ class Transducer:
         for (a, b), rank in self.merge_rank.items():
             self.partners.setdefault(a, []).append((b, rank))
         self.spines: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
-        # For each trie node the parts at the left side of the entries below it; none kept for the root.
-        self.heads: list[set[int]] = [set() for _ in self.trie]
-        for token, text in self.bytes_of.items():
-            parts, node = [y for y, _, _ in self.spine(token, False)], self.trie[0][text[0]]
-            for b in text[1:]:
-                self.heads[node].update(parts)
-                node = self.trie[node][b]
+        self.heads: dict[int, set[int]] = {}
         self.alike: dict[tuple[int, int], int] = {}
         self.first_of: dict[tuple, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -162,9 +156,25 @@ class Transducer:
         key = tuple((c, p, n - delta) for c, p, n in grown) + ((0, chosen, 0),)
         self.table[state, byte] = self.state_of(key, chosen) * 256 + delta + BIAS
 
+    def heads_below(self, node: int) -> set[int]:
+        """The parts at the left side of the entries below a trie node, collected when first asked for."""
+        heads = self.heads.get(node)
+        if heads is None:
+            heads, open_nodes = set(), list(self.trie[node].values())
+            while open_nodes:
+                below = open_nodes.pop()
+                if below in self.ends:
+                    token = self.ends[below]
+                    while token >= 0:
+                        heads.add(token)
+                        token = self.parts.get(token, (-1,))[0]
+                open_nodes += self.trie[below].values()
+            self.heads[node] = heads
+        return heads
+
     def same_last(self, node: int, last: int) -> int:
         """The first token seen that forbids the same merges to the entries below the node."""
-        heads, crossing = self.heads[node], []
+        heads, crossing = self.heads_below(node) if node else (), []
         for x, made, used in self.spine(last, True) if last >= 0 else ():
             partners = self.partners.get(x, ())
             if node and len(heads) < len(partners):
@@ -201,7 +211,7 @@ class Transducer:
         """Classes of new characters: with which of a letter, a digit and a mark does each form one word."""
         self.classes[chars] = SPACE_LIKE
         for probe, kind in (("a", LETTER), ("1", NUMBER), ("!", MARK)):
-            words = self.library.pre_tokenizer.pre_tokenize_str("\n".join(probe + chr(c) for c in chars))
+            words = self.library.pre_tokenize_str("\n".join(probe + chr(c) for c in chars))
             joined = {a for _, (a, b) in words if b == a + 2 and a % 3 == 0}
             self.classes[[c for i, c in enumerate(chars) if 3 * i in joined]] = kind
         self.classes[ord(" ")] = SPACE
