@@ -36,9 +36,11 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequenc
     """Left join of ``table`` (unique keys) that no hot key can skew.
 
     Keys with more than ``hot_rows`` rows are broadcast: there are at most rows / hot_rows
-    of them. Their rows, and rows with null keys, get a spread value so that the shuffle
-    join of the remaining keys does not bring them together. ``n`` names the column of
-    ``table`` that holds the row counts; without it they are counted first.
+    of them. Their rows get a spread value so that the shuffle join of the remaining keys
+    does not bring them together; so do rows whose nulls stand in a set of keys that no row
+    of ``table`` has null alike, since they have no partner. A null key that the table holds
+    matches like any other. ``n`` names the column of ``table`` that holds the row counts;
+    without it they are counted first.
     """
     df = normalise_missing(df)
     if n is None:
@@ -62,11 +64,12 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequenc
 
     hot = renamed(table.where(col(n) > hot_rows), "hot")
     cold = renamed(table.where(col(n) <= hot_rows), "cold").withColumn("__zero", F.lit(0))
-    null_key = F.lit(False)
-    for k in keys:
-        null_key = null_key | col(k).isNull()
-    spread = F.when(F.col("__hot") | null_key, F.spark_partition_id() + 1).otherwise(F.lit(0))
-    marked = df.join(F.broadcast(hot), same("hot"), "left").withColumn("__spread", spread)
+    nulls = F.concat(*[F.when(col(k).isNull(), "1").otherwise("0") for k in keys])
+    # At most 2 ** len(keys) rows: which keys are null together in the table.
+    patterns = table.select(nulls.alias("__nulls"), F.lit(True).alias("__paired")).distinct()
+    marked = df.withColumn("__nulls", nulls).join(F.broadcast(hot), same("hot"), "left").join(F.broadcast(patterns), "__nulls", "left")
+    spread = F.when(F.col("__hot") | F.col("__paired").isNull(), F.spark_partition_id() + 1).otherwise(F.lit(0))
+    marked = marked.withColumn("__spread", spread)
     out = marked.join(cold, same("cold") & (F.col("__spread") == F.col("__zero")), "left")
     return out.select(*[col(c) for c in df.columns],
                       *[F.coalesce(F.col(f"__hot_{v}"), F.col(f"__cold_{v}")).alias(v) for v in values])

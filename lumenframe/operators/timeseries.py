@@ -105,6 +105,9 @@ def decompose(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return series.withColumn("trend", trend).withColumn("residual", F.col("value") - F.col("trend"))
 
 
+SHORTEST = 6  # periods that a series needs for a forecast
+
+
 def _history(series: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per series: its values in time order, and the last period."""
     ordered = F.array_sort(F.collect_list(F.struct("period", F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))))
@@ -114,29 +117,37 @@ def _history(series: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _smooth(y: Column, alpha: float) -> Column:
-    first = F.element_at(y, 1)
+    first = F.get(y, F.lit(0))
     return F.aggregate(F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))), first,
                        lambda level, v: alpha * v + (1 - alpha) * level)
 
 
 def _holt_winters(y: Column, horizon: int, season: int, alpha: float, beta: float, gamma: float) -> Column:
-    """Additive level, trend and season as a fold over the values; an array of forecasts."""
+    """Additive level, trend and season as a fold over the values; an array of forecasts.
+
+    Level, trend and season start from two full seasons; a shorter series has null forecasts.
+    """
     base = F.aggregate(F.slice(y, 1, season), F.lit(0.0), lambda a, v: a + v) / season
     second = F.aggregate(F.slice(y, season + 1, season), F.lit(0.0), lambda a, v: a + v) / season
     start = F.struct(base.alias("level"), ((second - base) / season).alias("trend"),
                      F.transform(F.slice(y, 1, season), lambda v: v - base).alias("s"))
 
     def step(state: Column, v: Column) -> Column:
-        oldest = F.element_at(state["s"], 1)
+        oldest = F.get(state["s"], F.lit(0))
         level = alpha * (v - oldest) + (1 - alpha) * (state["level"] + state["trend"])
         trend = beta * (level - state["level"]) + (1 - beta) * state["trend"]
         fresh = gamma * (v - level) + (1 - gamma) * oldest
         return F.struct(level.alias("level"), trend.alias("trend"),
                         F.concat(F.slice(state["s"], 2, season - 1), F.array(fresh)).alias("s"))
 
-    return F.aggregate(F.slice(y, season + 1, F.greatest(F.size(y) - season, F.lit(0))), start, step,
-                       lambda state: F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: state["level"] +
-                                                 h * state["trend"] + F.element_at(state["s"], ((h - 1) % season + 1).cast("int"))))
+    out = F.aggregate(F.slice(y, season + 1, F.greatest(F.size(y) - season, F.lit(0))), start, step,
+                      lambda state: F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: state["level"] +
+                                                h * state["trend"] + F.get(state["s"], ((h - 1) % season).cast("int"))))
+    return F.when(F.size(y) >= 2 * season, out).otherwise(_unknown(horizon))
+
+
+def _unknown(horizon: int) -> Column:
+    return F.array_repeat(F.lit(None).cast("double"), horizon)
 
 
 def _predict(y: Column, horizon: int, algorithm: str, alpha: float, window: int, season: int) -> Column:
@@ -169,22 +180,25 @@ def _bands(df: DataFrame, by: Sequence[str], freq: str) -> DataFrame:
     else:
         start = F.date_add(F.col("last_period"), F.col("step") * (7 if freq == "W" else 1)).cast("timestamp_ntz")
     f, e = F.col("forecast"), F.col("rmse")
+    known = f.isNotNull() & e.isNotNull()
     return df.select(*[col(b) for b in by], "step", start.alias("period"), "forecast",
-                     F.greatest(F.lit(0.0), f - 1.28 * e).alias("lower_80"), (f + 1.28 * e).alias("upper_80"),
-                     F.greatest(F.lit(0.0), f - 1.96 * e).alias("lower_95"), (f + 1.96 * e).alias("upper_95"))
+                     F.when(known, F.greatest(F.lit(0.0), f - 1.28 * e)).alias("lower_80"), (f + 1.28 * e).alias("upper_80"),
+                     F.when(known, F.greatest(F.lit(0.0), f - 1.96 * e)).alias("lower_95"), (f + 1.96 * e).alias("upper_95"))
 
 
 def backtest(series: DataFrame, algorithm: str = "exponential_smoothing", by: Sequence[str] = (), alpha: float = 0.3,
              window: int = 4, season: int = 12) -> DataFrame:
     """Errors on the last fifth of each series (1 to 6 periods), fitted on the part before.
 
-    Series shorter than six periods are left out.
+    Series shorter than six periods have null errors; for Holt-Winters so do those whose part
+    before holds less than two seasons.
     """
-    h = _history(series, by).where(F.size("y") >= 6)
+    h = _history(series, by)
     test = F.least(F.lit(6), F.greatest(F.lit(1), F.floor(F.size("y") * 0.2))).cast("int")
     h = h.withColumn("test", test).withColumns({
         "train": F.slice("y", F.lit(1), F.size("y") - F.col("test")), "actual": F.slice("y", F.size("y") - F.col("test") + 1, F.col("test"))})
-    predicted = F.slice(_predict(F.col("train"), 6, algorithm, alpha, window, season), F.lit(1), F.col("test"))
+    guess = F.when(F.size("y") >= SHORTEST, _predict(F.col("train"), 6, algorithm, alpha, window, season)).otherwise(_unknown(6))
+    predicted = F.slice(guess, F.lit(1), F.col("test"))
     h = h.withColumn("predicted", predicted)
     errors = _errors(F.col("actual"), F.col("predicted"))
     return h.select(*[col(b) for b in by], F.size("y").alias("periods"), F.col("test").alias("test_periods"),
@@ -193,9 +207,14 @@ def backtest(series: DataFrame, algorithm: str = "exponential_smoothing", by: Se
 
 def forecast(series: DataFrame, horizon: int = 12, freq: str = "M", algorithm: str = "exponential_smoothing",
              by: Sequence[str] = (), alpha: float = 0.3, window: int = 4, season: int = 12) -> DataFrame:
-    """Future periods per series with 80 and 95 percent bands from the backtest error."""
-    h = _history(series, by).where(F.size("y") >= 6)
-    future = h.withColumn("f", _predict(F.col("y"), horizon, algorithm, alpha, window, season)).select(
+    """Future periods per series with 80 and 95 percent bands from the backtest error.
+
+    Series shorter than six periods, or than two seasons for Holt-Winters, have null forecasts;
+    where the backtest has no error the bands are null.
+    """
+    h = _history(series, by)
+    guess = F.when(F.size("y") >= SHORTEST, _predict(F.col("y"), horizon, algorithm, alpha, window, season)).otherwise(_unknown(horizon))
+    future = h.withColumn("f", guess).select(
         *[col(b) for b in by], "last_period", F.posexplode("f").alias("at", "forecast"))
     future = future.withColumn("step", F.col("at") + 1)
     scores = backtest(series, algorithm, by, alpha, window, season)
@@ -203,7 +222,7 @@ def forecast(series: DataFrame, horizon: int = 12, freq: str = "M", algorithm: s
         future = future.join(scores.select(*[col(b) for b in by], "rmse"), list(by))
     else:
         future = future.withColumn("rmse", scores.select("rmse").scalar())
-    return _bands(future.withColumn("forecast", F.greatest(F.lit(0.0), F.col("forecast")))
+    return _bands(future.withColumn("forecast", F.when(F.col("forecast").isNotNull(), F.greatest(F.lit(0.0), F.col("forecast"))))
                   if algorithm != "exponential_smoothing" else future, by, freq)
 
 
