@@ -32,7 +32,7 @@ RULES = "antecedent string, consequent string, support double, confidence double
 
 
 def pair_rules(df: DataFrame, transaction: str, item: str, min_support: float = 0.05, min_confidence: float = 0.2,
-               min_lift: float = 1.0, top: int | None = 50) -> DataFrame:
+               min_lift: float = 1.0, top: int | None = None) -> DataFrame:
     """Rules between two items, exact.
 
     Co-occurrences are summed as matrix products inside the tasks, so no pair is emitted per
@@ -97,7 +97,7 @@ def frequent_itemsets(df: DataFrame, transaction: str, item: str, min_support: f
 
 
 def association_rules(df: DataFrame, transaction: str, item: str, min_support: float = 0.05, min_confidence: float = 0.2,
-                      min_lift: float = 1.0, top: int | None = 50) -> DataFrame:
+                      min_lift: float = 1.0, top: int | None = None) -> DataFrame:
     """Rules of any length from FP-growth, with conviction, by falling lift."""
     model, total, seen = _mined(df, transaction, item, min_support, min_confidence)
     share = F.lit(seen / total)

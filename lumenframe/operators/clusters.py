@@ -125,9 +125,9 @@ def behaviour_segments(df: DataFrame, key: str) -> Clusters:
     return cluster(df, columns, algorithm="dbscan", eps=1.0, min_samples=4, key=key)
 
 
-def market_basket(df: DataFrame) -> DataFrame:
-    """Rules between the first two text columns: transaction, then item."""
+def market_basket(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Rules between the first two text columns: transaction, then item; all of them unless ``top`` is given."""
     texts = string_columns(df)
     if len(texts) < 2:
         raise ValueError("two text columns are needed: transaction and item")
-    return association_rules(df, texts[0], texts[1], min_support=0.05, min_confidence=0.1)
+    return association_rules(df, texts[0], texts[1], min_support=0.05, min_confidence=0.1, top=top)

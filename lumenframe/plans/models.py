@@ -274,10 +274,20 @@ def behaviour(spark, d):
     return cl.behaviour_segments(t, "s_suppkey").rows.select("s_suppkey", "cluster")
 
 
-@query("Q31_market_basket")
+@query("Q31_market_basket", f"""
+with e as (select distinct user_id as u, event_type as i from events), n as (select count(distinct u) * 1.0 as n from e),
+t as (select i, row_number() over (order by i) - 1 as k from (select distinct i from e)),
+b as (select u, sum(1 << k) as m from e join t using (i) group by u),
+a as (select unnest(range(1, (select 1 << count(*) from t))) as m),
+s as (select a.m, count(*) * 1.0 as c from a join b on cast(b.m as bigint) & a.m = a.m group by a.m),
+names as (select m, string_agg(i, ', ' order by i) as name from a join t on (m >> k) & 1 = 1 group by m)
+select names.name as antecedent, t.i as consequent, {r('w.c / n.n', 6)} as support, {r('w.c / x.c', 6)} as confidence, {r('w.c / x.c / (y.c / n.n)', 5)} as lift
+from s x join t on (x.m >> t.k) & 1 = 0 join s w on w.m = x.m + (1 << t.k) join s y on y.m = (1 << t.k) join names on names.m = x.m, n
+where w.c >= 0.05 * n.n and w.c / x.c >= 0.1 and w.c / x.c / (y.c / n.n) >= 1""")
 def market_basket(spark, d):
     t = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), "event_type")
-    return cl.market_basket(t)
+    out = cl.market_basket(t)
+    return out.select("antecedent", "consequent", rounded("support", 6).alias("support"), rounded("confidence", 6).alias("confidence"), rounded("lift", 5).alias("lift"))
 
 
 # ---- neighbours --------------------------------------------------------------------------------------

@@ -52,9 +52,8 @@ def sniff_delimiter(header: str) -> str:
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless the first lines hold bytes that are not."""
-    lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
-    return ENCODINGS[1] if any("\ufffd" in line for line in lines) else ENCODINGS[0]
+    """UTF-8 unless any line holds bytes that are not."""
+    return ENCODINGS[0] if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else ENCODINGS[1]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,

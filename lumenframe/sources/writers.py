@@ -19,8 +19,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_json_records(df: DataFrame, path: str, n: int | None = 1000, order_by=None, mode: str = "errorifexists") -> None:
-    """The first n records (1000, as a preview export) in the given order; all of them with n=None."""
+def write_json_records(df: DataFrame, path: str, n: int | None = None, order_by=None, mode: str = "errorifexists") -> None:
+    """All records, or the first ``n`` in the given order."""
     out = df.orderBy(*sort_columns(sort_keys(order_by))) if order_by else df
     (out.limit(n) if n else out).write.mode(mode).json(path)
 

@@ -238,3 +238,13 @@ def test_basket_rules_agree(spark):
     grown = {(r.antecedent, r.consequent): r.lift for r in bk.association_rules(df, "t", "i", .3, .1, 0.0, None).collect()}
     for key, r in pairs.items():
         assert grown[key] == pytest.approx(r.lift)
+
+
+def test_encoding_is_read_from_all_lines(spark, tmp_path):
+    """A byte that is not UTF-8 far down the file decides as well as one at the top."""
+    from lumenframe.sources import files
+
+    (tmp_path / "late.csv").write_bytes(b"id,name\n" + b"1,plain\n" * 1000 + "2,caf\u00e9\n".encode("latin-1"))
+    (tmp_path / "plain.csv").write_text("id,name\n" + "1,caf\u00e9\n" * 3, encoding="utf-8")
+    assert files.load(spark, str(tmp_path / "late.csv")).where("name = 'caf\u00e9'").count() == 1
+    assert files.load(spark, str(tmp_path / "plain.csv")).where("name = 'caf\u00e9'").count() == 3
