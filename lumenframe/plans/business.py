@@ -87,6 +87,33 @@ def resample_end(spark, d):
     return show(ts.resample(table(spark, d, "orders").where("o_custkey % 50 = 0"), "o_orderdate", "o_totalprice", "M", "mean", label="end"))
 
 
+def _gaps(freq: str, agg: str, shown: str = "s.period") -> str:
+    """Periods, empty ones, ends and sum of values of each customer's series, over all orders."""
+    unit, step = UNITS[freq]
+    return f"""
+with p as (select o_custkey, cast(date_trunc('{unit}', o_orderdate) as timestamp) as period, {agg} as v from orders group by 1, 2),
+s as (select o_custkey, unnest(generate_series(min(period), max(period), {step})) as period from p group by 1)
+select s.o_custkey, count(*) as periods, count(*) filter (where v is null) as empty, min(cast({shown} as timestamp)) as first, max(cast({shown} as timestamp)) as last, {r('sum(v)', 2)} as value
+from s left join p on s.o_custkey = p.o_custkey and s.period = p.period group by 1"""
+
+
+def gaps(series):
+    # Sums show empty periods as 0, which no order costs; means show them as null.
+    return series.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.coalesce("value", F.lit(0)) == 0).alias("empty"),
+                                           F.min("period").alias("first"), F.max("period").alias("last"), rounded(F.sum("value"), 2).alias("value"))
+
+
+# Sparse series of all orders: a customer has none in most periods.
+for _freq in UNITS:
+    query(f"O2_O3_resample_{UNITS[_freq][0]}_per_customer", _gaps(_freq, "sum(o_totalprice)"))(
+        lambda spark, d, f=_freq: gaps(ts.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", f, by=["o_custkey"])))
+
+
+@query("O2_resample_mean_period_end_per_customer", _gaps("M", "avg(o_totalprice)", "last_day(s.period)"))
+def resample_end_per_customer(spark, d):
+    return gaps(ts.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "M", "mean", ["o_custkey"], label="end"))
+
+
 @query("O2_resample_many_series", f"""
 with p as (select o_orderpriority, cast(date_trunc('month', o_orderdate) as timestamp) as period, count(*) as v from orders group by 1, 2),
 s as (select o_orderpriority, unnest(generate_series(min(period), max(period), interval 1 month)) as period from p group by 1)

@@ -45,3 +45,11 @@ def test_no_python_in_relational_plans(spark):
 
 def test_tables_load(spark):
     assert table(spark, FOLDER, "region").count() == 5
+
+
+def test_sparse_series_hold_all_orders(spark):
+    orders = table(spark, FOLDER, "orders").toPandas()
+    series = QUERIES["O2_O3_resample_day_per_customer"].run(spark, FOLDER).toPandas()
+    assert set(series["o_custkey"]) == set(orders["o_custkey"]) and series["empty"].sum() > 0
+    assert abs(series["value"].sum() - orders["o_totalprice"].sum()) < 0.01 * len(series)
+    assert (series["periods"] - series["empty"]).sum() == len(orders.assign(day=orders["o_orderdate"].dt.date).drop_duplicates(["o_custkey", "day"]))
