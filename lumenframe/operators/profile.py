@@ -127,13 +127,19 @@ def outside_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dic
     return dict(zip(bounds, row))
 
 
-def _reads_as_date(df: DataFrame, column: str, named: bool) -> bool:
-    """Do the first values of a text column parse as dates?"""
-    sample = [r[0] for r in df.where(col(column).isNotNull()).select(col(column)).limit(30).collect()]
-    if not sample or not (named or ISO_START.search(sample[0])):
-        return False
-    parsed = df.sparkSession.createDataFrame([(s,) for s in sample], "v string")
-    return parsed.where(F.try_to_timestamp(F.replace("v", F.lit("/"), F.lit("-"))).isNull()).isEmpty()
+def read_as_dates(df: DataFrame, columns: dict[str, bool]) -> set[str]:
+    """The text columns whose values all parse as dates, in one aggregate; a column that is not named like
+    a date (False) must also start every value with year, month and day."""
+    columns = {c: named for c, named in columns.items() if is_text(df, c)}
+    if not columns:
+        return set()
+    exprs = []
+    for c, named in columns.items():
+        good = F.try_to_timestamp(F.replace(col(c), F.lit("/"), F.lit("-"))).isNotNull()
+        # Short of the start of a date nothing is parsed.
+        good = good if named else F.when(col(c).rlike(ISO_START.pattern), good).otherwise(False)
+        exprs.append((F.count(col(c)) > 0) & (F.count_if(col(c).isNotNull() & ~good) == 0))
+    return {c for c, dates in zip(columns, df.agg(*exprs).first()) if dates}
 
 
 def column_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
@@ -147,13 +153,11 @@ def column_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
     return rows, facts
 
 
-def _role(df: DataFrame, name: str, unique: int, unique_pct: float) -> str:
+def _role(df: DataFrame, name: str, unique: int, unique_pct: float, dates: set[str]) -> str:
     low, kind = name.lower(), df.schema[name].dataType
     if isinstance(kind, T.BooleanType):
         return "boolean"
-    if name in time_columns(df):
-        return "datetime"
-    if is_text(df, name) and _reads_as_date(df, name, any(w in low for w in DATE_WORDS)):
+    if name in time_columns(df) or name in dates:
         return "datetime"
     if is_numeric(df, name):
         if unique <= 2:
@@ -178,10 +182,11 @@ def profile(df: DataFrame) -> DataFrame:
     bounds = {c: (f["q25"] - 1.5 * (f["q75"] - f["q25"]), f["q75"] + 1.5 * (f["q75"] - f["q25"]))
               for c, f in facts.items() if f.get("q25") is not None}
     outliers = outside_counts(df, bounds)
+    dates = read_as_dates(df, {c: any(w in c.lower() for w in DATE_WORDS) for c in df.columns})
     out = []
     for c, f in facts.items():
         pct = 100.0 * f["unique"] / rows if rows else 0.0
-        role = _role(df, c, f["unique"], round(pct, 2))
+        role = _role(df, c, f["unique"], round(pct, 2), dates)
         top = role == "categorical" and not is_numeric(df, c)
         out.append((c, df.schema[c].dataType.simpleString(), role, f["missing"],
                     100.0 * f["missing"] / rows if rows else 0.0, f["unique"], pct,
@@ -197,9 +202,9 @@ def feature_categories(df: DataFrame) -> dict[str, list[str]]:
     unique = {c: f["unique"] for c, f in value_facts(df, df.columns).items()}
     out: dict[str, list[str]] = {k: [] for k in
                                  ("numerical", "categorical_low", "categorical_high", "datetime", "text_or_id")}
+    dates = read_as_dates(df, {c: "date" in c.lower() or "time" in c.lower() for c in df.columns})
     for c in df.columns:
-        low = c.lower()
-        if c in time_columns(df) or (is_text(df, c) and _reads_as_date(df, c, "date" in low or "time" in low)):
+        if c in time_columns(df) or c in dates:
             out["datetime"].append(c)
         elif is_numeric(df, c):
             whole = isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType))
@@ -224,14 +229,13 @@ def automl_types(df: DataFrame, target: str) -> dict[str, list[str]]:
     if two:
         for r in value_table(df, two).select("column", "value").collect():
             pairs[r["column"]].add(r["value"][:-2] if r["value"].endswith(".0") else r["value"])
+    dates = read_as_dates(df, {c: True for c in features if any(w in c.lower() for w in ["date", "time", "timestamp", "created", "updated"])})
     for c in features:
         low, unique = c.lower(), facts[c]["unique"] + (1 if wide[c]["missing"] else 0)
         id_word = any(w in low for w in ["id", "code", "uuid", "key", "guid"])
         if unique <= 1 or (unique == rows and rows >= 10 and (not is_numeric(df, c) or id_word)):
             kind = "id_or_constant"
-        elif c in time_columns(df) or (
-                is_text(df, c) and any(w in low for w in ["date", "time", "timestamp", "created", "updated"])
-                and _reads_as_date(df, c, True)):
+        elif c in time_columns(df) or c in dates:
             kind = "datetime"
         elif isinstance(df.schema[c].dataType, T.BooleanType) or (c in pairs and pairs[c] <= BOOLEAN_TEXT):
             kind = "boolean"

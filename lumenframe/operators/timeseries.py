@@ -26,15 +26,13 @@ _AGG = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "
 
 
 def detect_columns(df: DataFrame) -> tuple[str | None, str | None]:
-    """First time column, or text column named like one whose values parse; then the main metric."""
+    """First time column, or text column named like one whose values all parse; then the main metric."""
     date = next(iter(time_columns(df)), None)
     if date is None:
-        for c in string_columns(df):
-            if any(w in c.lower() for w in DATE_NAMES):
-                probe = df.where(col(c).isNotNull()).select(F.try_to_timestamp(col(c)).alias("t")).limit(10)
-                if probe.where("t is null").isEmpty() and not probe.isEmpty():
-                    date = c
-                    break
+        named = [c for c in string_columns(df) if any(w in c.lower() for w in DATE_NAMES)]
+        if named:
+            parse = [(F.count(col(c)) > 0) & (F.count(F.try_to_timestamp(col(c))) == F.count(col(c))) for c in named]
+            date = next((c for c, dates in zip(named, df.agg(*parse).first()) if dates), None)
     numbers = numeric_columns(df)
     named = [c for c in numbers if any(w in c.lower() for w in METRIC_NAMES)]
     return date, (named or numbers or [None])[0]

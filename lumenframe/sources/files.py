@@ -151,11 +151,14 @@ def find_documents(documents: DataFrame, filter: Mapping | None = None, projecti
     return flat.limit(limit) if limit else flat
 
 
-def document_schema(spark: SparkSession, path: str, documents: int = 5) -> DataFrame:
-    """(field, type) read from the first few documents of a JSON-lines path."""
-    first = [r[0] for r in spark.read.text(path).limit(documents).collect()]
-    kind = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(first) + "]")).alias("s")).first()["s"]
-    fields = T.StructType.fromDDL(f"d {kind}")["d"].dataType.elementType.fields
+def document_schema(spark: SparkSession, path: str, documents: int | None = None) -> DataFrame:
+    """(field, type) read from all documents of a JSON-lines path, or from its first few where a number is given."""
+    if documents is None:
+        fields = spark.read.json(path).schema.fields
+    else:
+        first = [r[0] for r in spark.read.text(path).limit(documents).collect()]
+        kind = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(first) + "]")).alias("s")).first()["s"]
+        fields = T.StructType.fromDDL(f"d {kind}")["d"].dataType.elementType.fields
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in fields], "field string, type string")
 
 

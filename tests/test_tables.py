@@ -248,3 +248,23 @@ def test_encoding_is_read_from_all_lines(spark, tmp_path):
     (tmp_path / "plain.csv").write_text("id,name\n" + "1,caf\u00e9\n" * 3, encoding="utf-8")
     assert files.load(spark, str(tmp_path / "late.csv")).where("name = 'caf\u00e9'").count() == 1
     assert files.load(spark, str(tmp_path / "plain.csv")).where("name = 'caf\u00e9'").count() == 3
+
+
+def test_all_pages_are_read(spark, tmp_path):
+    for page in range(1, 16):
+        (tmp_path / f"p{page}.json").write_text(json.dumps([{"id": page}] if page < 8 else []))
+    df = paged.read_pages(spark, f"file://{tmp_path}/p{{page}}.json", "id int")
+    assert sorted(r.id for r in df.collect()) == list(range(1, 8))
+
+
+def test_fields_of_late_documents(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text("\n".join(['{"a": 1}'] * 50 + ['{"a": 1.5, "late": "x"}']))
+    assert rows(files.document_schema(spark, str(tmp_path / "d.jsonl")), "field") == [("a", "double"), ("late", "string")]
+
+
+def test_dates_are_decided_on_all_values(spark):
+    values = [("2024-01-02", f"2024/03/{i % 28 + 1:02d}") for i in range(200)] + [("not a day", "2024-04-01"), (None, None)]
+    df = spark.createDataFrame(values, "sale_date string, plain string").coalesce(1)
+    assert {r["column"]: r["role"] for r in pf.profile(df).collect()} == {"sale_date": "categorical", "plain": "datetime"}
+    assert pf.feature_categories(df)["datetime"] == ["plain"]
+    assert ts.detect_columns(df)[0] is None
