@@ -11,6 +11,7 @@ few vectors is compared with all rows, in blocks.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,23 +66,31 @@ class Grid:
         return np.concatenate(out, axis=1)
 
 
-def best_of(key: str, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query, distance, ids) of the nearest distinct vectors, ties to the smaller id."""
+def best_of(query: str, x: np.ndarray, rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """(query, key, distance, ids) of the nearest distinct vectors, ties to the smaller id: as many as leave ``k``
+    to every id that asks, whose own vectors are none."""
     distance = np.sqrt(((rows - x) ** 2).sum(axis=1))
-    if len(distance) > k:
-        border = np.partition(distance, k - 1)[k - 1]
-        near = np.flatnonzero(distance <= border)
-    else:
-        near = np.arange(len(distance))
-    order = sorted(near, key=lambda i: (distance[i], ids[i][0]))[:k]
-    return [(key, float(distance[i]), ids[i]) for i in order]
+    near = np.arange(len(distance))
+    if len(distance) > k + 1:
+        near = np.flatnonzero(distance <= np.partition(distance, k)[k])
+    for some in (near, np.arange(len(distance))):  # ids with several vectors can need more than the k + 1 nearest
+        kept, often = [], Counter()
+        for i in sorted(some, key=lambda i: (distance[i], ids[i][0], keys[i])):
+            alone = ids[i][0] == ids[i][-1]
+            if alone and often[ids[i][0]] == k:
+                continue
+            often[ids[i][0]] += alone
+            kept.append((query, keys[i], float(distance[i]), ids[i]))
+            if len(kept) - max(often.values()) >= k:
+                return kept
+    return kept
 
 
-FOUND = "query string, distance double, ids array<long>"
+FOUND = "query string, key string, distance double, ids array<long>"
 
 
 def found(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["query", "distance", "ids"])
+    return pd.DataFrame(rows, columns=["query", "key", "distance", "ids"])
 
 
 def vectors(raw: pd.Series) -> np.ndarray:
@@ -146,7 +155,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, id: str = "vec_id",
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) * TABLES // TASK_ROWS))
     parts = F.coalesce("parts", F.lit(1)).cast("long")
     task = F.pmod(F.xxhash64("cell", "part"), F.lit(tasks)).alias("task")
-    held = indexed.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("key"), parts)).select(task, "cell", "raw", "ids")
+    held = indexed.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("key"), parts)).select(task, "cell", "key", "raw", "ids")
     sent = queries.select("key", "dim", "raw").mapInPandas(probe, "cell long, key string").join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     sent = sent.select(task, "cell", "key").groupBy("task", "key").agg(F.collect_set("cell").alias("cells")).join(queries.select("key", "raw"), "key")
 
@@ -155,7 +164,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, id: str = "vec_id",
             return found([])
         held = held.sort_values("cell", kind="stable", ignore_index=True)
         cell, out = held["cell"].to_numpy(), []
-        lowest = np.array([i[0] for i in held["ids"]])
+        code = pd.factorize(held["key"])[0]
         held["dim"] = held["raw"].map(len)
         length = held["dim"].to_numpy()
         matrix = {dim: vectors(held.loc[held["dim"] == dim, "raw"]) for dim in np.unique(length)}
@@ -170,16 +179,20 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, id: str = "vec_id",
             if not len(rows):
                 continue
             some = matrix[len(query.raw)][place[rows]]
-            ids = held["ids"].to_numpy()[rows]
-            first = np.unique(lowest[rows], return_index=True)[1]
-            out += best_of(query.key, np.frombuffer(query.raw, np.float64), some[first], ids[first], k + 1)
+            first = np.unique(code[rows], return_index=True)[1]
+            keys, ids = held["key"].to_numpy()[rows[first]], held["ids"].to_numpy()[rows[first]]
+            out += best_of(query.key, np.frombuffer(query.raw, np.float64), some[first], keys, ids, k)
         return found(out)
 
     candidates = written(sent.groupBy("task").cogroup(held.groupBy("task")).applyInPandas(rank, FOUND), "ann-candidates")
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        distinct = pairs.groupBy("query", F.col("ids")[0].alias("first")).agg(F.min("distance").alias("score"), F.first("ids").alias("ids"))
-        near = distinct.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("score", "first"))).where(F.col("n") <= k + 1)
+        distinct = pairs.groupBy("query", "key").agg(F.min("distance").alias("score"), F.first("ids").alias("ids"))
+        # A vector of one id alone is nothing to that id, and any other needs k of its vectors at most: 2 k in all.
+        alone = F.when(F.array_min("ids") == F.array_max("ids"), F.array_min("ids"))
+        order = ["score", F.col("ids")[0], "key"]
+        near = distinct.withColumn("alone", alone).withColumn("n", F.row_number().over(W.partitionBy("query", "alone").orderBy(*order)))
+        near = near.where(F.col("alone").isNull() | (F.col("n") <= k)).withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("n") <= 2 * k)
         answers = asked.join(near, "query").select("query", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         return answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
@@ -189,7 +202,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, id: str = "vec_id",
     short = written(queries.join(few, "key", "left_semi"), "ann-short")
     blocks = max(1, -(-sum(sizes.values()) // TASK_ROWS))
     spread_out = short.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cells", F.array("dim")).select("task", "key", "cells", "raw")
-    all_rows = folded.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("task"), F.col("dim").alias("cell"), "raw", "ids")
+    all_rows = folded.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("task"), F.col("dim").alias("cell"), "key", "raw", "ids")
     full = ranked(spread_out.groupBy("task").cogroup(all_rows.groupBy("task")).applyInPandas(rank, FOUND))
     kept = answers.join(short.select(F.col("key").alias("query")), "query", "left_anti")
     return kept.union(full.select(*kept.columns)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
