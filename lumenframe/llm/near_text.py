@@ -163,7 +163,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, n: int, threshold: f
     yield pd.DataFrame({"key": keys[has], "low": np.sort(keys)[low[has]], "links": links[has].astype(np.int64)})
 
 
-def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id, copy_id, n_links, kept, body_md5) of every row.
 
     Two rows are linked when the Jaccard similarity of their sets of n-word shingles is at least
