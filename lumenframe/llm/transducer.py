@@ -11,8 +11,8 @@ neighbouring pair is. So the last token of a prefix follows from the last token
 
 Texts are cut into chunks of equal size that advance together. What a chunk does to a state is
 a map; a chunk in which a word starts has a constant map from there on, so only the bytes before
-its first word start wait for the state handed in. Composing the maps in a scan takes one round,
-and one more for each further chunk that a single word spans.
+its first word start wait for the state handed in. No map is built: those bytes are run again once
+the chunk before is known, in one round, and one more for each further chunk that a single word spans.
 """
 
 from __future__ import annotations
@@ -280,7 +280,7 @@ class Transducer:
             added += (moved & 255) - BIAS
             if keep:
                 states[k] = state
-        # The scan: bytes before the first word start of a chunk continue the chunk before it.
+        # The catch-up: bytes before the first word start of a chunk continue the chunk before it.
         has = starts.any(axis=1)
         head = np.where(has, starts.argmax(axis=1), CHUNK)
         head[opening] = 0
