@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenframe.llm.centroids import centroid_clusters
 from lumenframe.llm.chat import format_conversations, read_back
+from lumenframe.llm.collocations import collocations
 from lumenframe.llm.licences import TEMPLATES, scan
 from lumenframe.llm.lm_scores import lm_scores
+from lumenframe.llm.main_text import main_text
 from lumenframe.llm.mixing import mix
 from lumenframe.llm.near_text import near_text
 from lumenframe.llm.near_vectors import near_vectors
@@ -160,3 +163,57 @@ def op9_near_text(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents", "text", "lang"))
+
+
+SQL["op12_collocations"] = """
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+  piece as (select lang, unnest(string_split_regex(t, '[.,;:!?\n-\r]')) as p from d),
+  w as (select lang, regexp_extract_all(p, '[^ \t]+') as w from piece),
+  size as (select lang, sum(len(w))::bigint as n from w group by lang),
+  f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*)::bigint as a from w, range(1, 4) q(k), range(1, len(w) - k + 2) r(i) group by all),
+  cand as (select *, string_split(phrase, ' ') as x from f where k > 1 and a >= 10),
+  cut as (select c.lang, c.phrase, c.a, j, l.a as l, r.a as r, ((1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a))::bigint as score
+    from (select *, unnest(range(1, k)) as j from cand) c
+    join f l on l.lang = c.lang and l.phrase = array_to_string(x[1:j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(x[j + 1:], ' ')),
+  low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+  inner_part as (select lang, array_to_string(x[1:2], ' ') as phrase, a as longer from cand where k = 3 union all
+    select lang, array_to_string(x[2:3], ' '), a from cand where k = 3),
+  gone as (select distinct lang, phrase from inner_part join cand using (lang, phrase) where 100 * longer >= 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a, l, r, n, score
+from low join size using (lang) where (lang, phrase) not in (select (lang, phrase) from gone) qualify rank <= 2000
+"""
+
+
+@query
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+def round_sql(before: str, name: str) -> str:
+    """A round: nearest centroid of every vector, then floored means."""
+    return f"""
+  near_{name} as (select v.vec_id, v.e, c.k, {DISTANCE} as d from v, {before} c qualify row_number() over (partition by v.vec_id order by d, c.k) = 1),
+  mean_{name} as (select k, list(s order by i) as e from (select k, i, floor(sum(e[i])::double / count(*))::bigint as s from near_{name}, range(1, 65) r(i) group by k, i) group by k),
+  {name} as (select c.k, coalesce(m.e, c.e) as e from {before} c left join mean_{name} m using (k)),"""
+
+
+DISTANCE = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+SQL["op13_centroids"] = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  c0 as (select row_number() over (order by sha256('2:' || vec_id::varchar)) - 1 as k, e from v qualify k < 40),
+  {"".join(round_sql(f"c{i}", f"c{i + 1}") for i in range(5)).strip()}
+  last as (select v.vec_id, c.k, c.e, {DISTANCE} as d from v, c5 c qualify row_number() over (partition by v.vec_id order by d, c.k) = 1)
+select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(e, ',')) as centroid_sha256 from last
+"""
