@@ -2,8 +2,8 @@
 
 The reader follows browsers where pages are malformed: unclosed paragraphs, items and cells end
 where the next begins, end tags without a start are passed over, the content of scripts, styles and
-the like is not text, and markup that is never closed runs to the end of the page. It reads every
-character a bounded number of times.
+the like is not text, and comments and tags that are never closed run to the end of the page; a
+quote that is never closed ends with its tag. Every character is read a bounded number of times.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ TOKEN = re.compile(r"""<(?:
   | /[^A-Za-z][^>]*(?:>|\Z))""", re.X)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
-HIDDEN = frozenset("svg template object canvas select button datalist audio video map".split())
+HIDDEN = frozenset("svg template object canvas select button datalist audio video map".split())     # in the line, their content is not text
+FRAIL = frozenset("svg select datalist".split())                # these end them:
+BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 article section main header footer nav aside ul ol li table form blockquote pre".split())
 VOID = frozenset("hr img input meta link area base col embed source track wbr br param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter nobr output picture progress q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var img wbr input link meta source".split())
@@ -98,7 +100,7 @@ def blocks(html: str) -> list[Block]:
     at, in_link = 0, False
 
     def finish() -> None:
-        if not pieces:
+        if not pieces or open_[-1].hidden:
             return
         text = " ".join("".join(pieces).split())
         if text:
@@ -136,7 +138,10 @@ def blocks(html: str) -> list[Block]:
                 links.append(" ")
             elif name == "br":
                 add(" ")
-            elif name not in INLINE:
+            elif name in HIDDEN:
+                if count.get(name):
+                    close(name)
+            elif name not in INLINE and name not in RAW:
                 finish()
                 if count.get(name):
                     close(name)
@@ -149,7 +154,12 @@ def blocks(html: str) -> list[Block]:
         elif name == "a":
             in_link = True
             links.append(" ")
-        elif name not in INLINE:
+        elif name in HIDDEN:
+            open_.append(place(name, token["rest"], open_[-1]))
+            count[name] = count.get(name, 0) + 1
+        elif name not in INLINE and (not open_[-1].hidden or open_[-1].name in FRAIL and name in BREAKS):
+            while open_[-1].name in FRAIL:
+                close(open_[-1].name)
             finish()
             in_link = in_link and name not in ("li", "td", "th", "article", "section", "nav", "footer", "p")
             if open_[-1].name == "p":
