@@ -5,10 +5,15 @@ and by two; in it stand the counts of its phrases, the totals of the prefixes of
 as the largest of the entries that go on from a phrase, what can subsume it. Tasks build stripes
 from chunks of text, and stripes with the same key are added element by element after one shuffle.
 The stripe of a frequent word is dealt out by a hash of the next word.
+
+Stripes of two words come first. A phrase of three words occurs as often as ``least`` only if both
+of its pairs do; those pairs set bits of a bounded map, and a phrase with a pair whose bit is not
+set is not put into a stripe.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +24,13 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from lumenframe.llm.tables import written
 
-CHUNK = 6_000_000       # bytes of text counted at once: their distinct words number under 2^21, three of them fit 63 bits
+CHUNK = 4_000_000       # bytes of text counted at once: their distinct words number under 2^21, three of them fit 63 bits
 PIECES = 8_192          # a stripe holds about 1 / PIECES of all words; words with more are dealt out, PIECES of them at most
 SALTS = 64              # parts of a language that are cut to the best phrases before they meet
 BREAK = b"."
+MAP_BITS = (1 << 20, 1 << 28)   # least and most bits of the map of pairs: 32 MB at most
+BITS_A_PAIR = 16
+PAIR_FACTOR = 1_000_003
 CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
 
 
@@ -53,7 +61,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Dictiona
             sizes[lang] = sizes.get(lang, 0) + len(clean) + 3
             if sizes[lang] >= CHUNK:
                 yield from split(lang)
-            elif sum(sizes.values()) >= 4 * CHUNK:
+            elif sum(sizes.values()) >= 2 * CHUNK:
                 yield from split(max(sizes, key=sizes.get))
     for lang in list(held):
         yield from split(lang)
@@ -75,40 +83,66 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": pa.array([lang] * len(found), pa.string()), "word": words.take(pa.array(found)).cast(pa.string()), "n": pa.array(n[found])})
 
 
-def extensions(ids: np.ndarray, is_word: np.ndarray, before: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, third or -1, count) of each phrase of two and three words that ends after ``before``."""
-    two = is_word[:-1] & is_word[1:]
-    three = two[:-1] & two[1:]
-    two[:max(before - 1, 0)] = False
-    three[:max(before - 2, 0)] = False
-    pair = ids[:-1] * v + ids[1:]
-    k2, n2 = np.unique(pair[two], return_counts=True)
-    k3, n3 = np.unique((pair[:-1] * v + ids[2:])[three], return_counts=True)
-    first = np.concatenate([k2 // v, k3 // (v * v)])
-    second = np.concatenate([k2 % v, k3 // v % v])
-    return first, second, np.concatenate([np.full(len(k2), -1), k3 % v]), np.concatenate([n2, n3])
+def pairs_at(is_word: np.ndarray) -> np.ndarray:
+    """Where a word follows a word."""
+    return is_word[:-1] & is_word[1:]
+
+
+def set_in(bits: np.ndarray, ids: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Whether the bit of each pair of neighbours is set."""
+    sums = np.array([zlib.crc32(w) for w in names], np.int64)
+    at = (sums[ids[:-1]] * PAIR_FACTOR + sums[ids[1:]]) % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
 
+def pair_map(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each (w1, w2) of the table, packed into bytes."""
+    at = F.pmod(F.crc32(F.encode("w1", "UTF-8")) * PAIR_FACTOR + F.crc32(F.encode("w2", "UTF-8")), F.lit(bits)) + 1
+    parts = pairs.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # 4 KB each, bits / 32,768 of them at most
+        out[(row.no - 1) * 4_096:row.no * 4_096] = np.frombuffer(row.bits, np.uint8)[:bits // 8]
+    return out
 
-def stripes_of(hot: dict[tuple[str, bytes], int]):
-    """A function from batches of (lang, text) to stripes (lang, prefix, part, next, n); ``hot`` says in how many parts a prefix is dealt."""
+
+def stripes_of(hot: dict[tuple[str, bytes], int], bits: np.ndarray | None = None):
+    """A function from batches of (lang, text) to stripes (lang, prefix, part, next, n).
+
+    They hold extensions by one word; by two words where a map of pairs is given. ``hot`` says in how many parts a prefix is dealt.
+    """
+
+    def extensions(ids: np.ndarray, is_word: np.ndarray, before: int, names: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(first, second, third if any, count) of the phrases that end after ``before``."""
+        v, here = len(names), pairs_at(is_word)
+        key = ids[:-1] * v + ids[1:]
+        if bits is not None:
+            here &= set_in(bits, ids, names)
+            here, key = here[:-1] & here[1:], key[:-1] * v + ids[2:]
+            here[:max(before - 2, 0)] = False
+        else:
+            here[:max(before - 1, 0)] = False
+        key, n = np.unique(key[here], return_counts=True)
+        return (key // v, key % v, n) if bits is None else (key // (v * v), key // v % v, key % v, n)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, tokens, before in chunks(batches):
             ids, is_word, words = coded(tokens)
-            if len(ids) < 2:
+            if len(ids) < 3 - (bits is None):
                 continue
-            first, second, third, n = extensions(ids, is_word, before, len(words))
+            names = words.to_pylist()
+            first, second, *third, n = extensions(ids, is_word, before, names)
             if not len(first):
                 continue
-            names = words.to_pylist()
-            parts = np.array([hot.get((lang, w), 1) for w in names])
-            part = np.where(parts[first] > 1, pd.util.hash_array(np.array(names, object))[second] % parts[first].astype(np.uint64), 0).astype(np.int64)
+            parts = np.array([hot.get((lang, w), 1) for w in names])[first]
+            part = np.zeros(len(first), np.int64)
+            dealt = np.flatnonzero(parts > 1)
+            part[dealt] = pd.util.hash_array(np.array(names, object))[second[dealt]] % parts[dealt].astype(np.uint64)
             order = np.lexsort((part, first))
-            first, second, third, n, part = [x[order] for x in (first, second, third, n, part)]
+            first, second, n, part = first[order], second[order], n[order], part[order]
             text = words.cast(pa.string())
             after = text.take(pa.array(second))
-            longer = pc.binary_join_element_wise(after, text.take(pa.array(np.maximum(third, 0))), " ")
-            after = pc.if_else(pa.array(third >= 0), longer, after)
+            if third:
+                after = pc.binary_join_element_wise(after, text.take(pa.array(third[0][order])), " ")
             starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])]))
             offsets = pa.array(np.append(starts, len(first)).astype(np.int32))
             yield pa.record_batch({
@@ -147,15 +181,20 @@ def collocations(table: DataFrame, least: int = 10, subsumed: int = 50, top: int
     hot = frequent.where(F.col("n") >= max(total / PIECES, 1))
     dealt = spark.sparkContext.broadcast({(r.lang, r.word.encode()): -(-r.n * PIECES // total) for r in hot.collect()})
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return stripes_of(dealt.value)(batches)
-
-    stripes = texts.mapInArrow(build, "lang string, prefix string, part int, next array<string>, n array<int>")
-    merged = stripes.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "n")))
-    merged = merged.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    merged = written(merged.select("lang", F.col("prefix").alias("w1"), F.split("next", " ").alias("w"), "a").select(
-        "lang", "w1", F.col("w")[0].alias("w2"), F.get("w", F.lit(1)).alias("w3"), "a"), "stripes")
-    two, three = merged.where("w3 is null").drop("w3"), merged.where("w3 is not null")
+    def merged(dealt_map) -> DataFrame:
+        """Phrases with ``least`` occurrences or more, from stripes added element by element."""
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return stripes_of(dealt.value, dealt_map and dealt_map.value)(batches)
+
+        stripes = texts.mapInArrow(build, "lang string, prefix string, part int, next array<string>, n array<int>")
+        entries = stripes.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline(F.arrays_zip("next", "n")))
+        return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+
+    two = written(merged(None).select("lang", F.col("prefix").alias("w1"), F.col("next").alias("w2"), "a"), "stripes-two")
+    bits = min(max(MAP_BITS[0], 1 << (BITS_A_PAIR * two.count()).bit_length()), MAP_BITS[1])
+    shared = spark.sparkContext.broadcast(pair_map(two, bits))
+    after = F.split("next", " ")
+    three = written(merged(shared).select("lang", F.col("prefix").alias("w1"), after[0].alias("w2"), after[1].alias("w3"), "a"), "stripes-three")
 
     def with_count(df: DataFrame, word: str, name: str) -> DataFrame:
         """The count of a column's words; frequent ones come by broadcast, so that none gathers its rows in one task."""

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -69,10 +70,11 @@ def test_small_chunks_lose_no_phrase(spark, monkeypatch):
     monkeypatch.setattr(co, "CHUNK", 50)
     batch = pa.record_batch({"lang": [r[1] for r in rows], "text": [r[0] for r in rows]})
     got, want = Counter(), Counter()
-    for b in co.stripes_of({("en", b"the"): 5, ("en", b"a"): 2})([batch]):
-        for r in b.to_pylist():
-            for after, n in zip(r["next"], r["n"]):
-                got[(r["prefix"], *after.split(" "))] += n
+    for bits in (None, np.full(1 << 10, 255, np.uint8)):
+        for b in co.stripes_of({("en", b"the"): 5, ("en", b"a"): 2}, bits)([batch]):
+            for r in b.to_pylist():
+                for after, n in zip(r["next"], r["n"]):
+                    got[(r["prefix"], *after.split(" "))] += n
     words = Counter()
     for b in co.count_words([batch]):
         for r in b.to_pylist():
@@ -96,6 +98,14 @@ def test_a_hot_prefix_is_dealt_out():
     assert len(parts) == 8 and max(parts.values()) < 250
 
 
+def test_map_of_pairs_has_the_bits_of_its_pairs(spark):
+    pairs = [(f"w{i}", f"é{i % 7}") for i in range(500)]
+    bits = co.pair_map(spark.createDataFrame(pairs, "w1 string, w2 string"), 1 << 20)
+    names = [w.encode() for p in pairs for w in p]
+    found = co.set_in(bits, np.arange(len(names)), names)
+    assert found[::2].all() and found[1::2].sum() < 5 and np.unpackbits(bits).sum() <= 500
+
+
 def test_products_beyond_64_bits(spark):
     row = spark.createDataFrame([(9_000_000_000_001, 9_000_000_000_003, 9_100_000_000_007)], "a long, l long, r long")
     got = row.select(co.score(row.a, row.l, row.r).alias("s")).first().s
