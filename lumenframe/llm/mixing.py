@@ -66,12 +66,17 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: list[dict[str, float]]
 
     Nulls are leaves of their own. A null text has no tokens. Rows without tokens come with their
     place in the order. Rows equal in id and text share their place and are taken together or not
-    at all. An empty table gives no rows. Only columns named ``mix_...`` would clash and are replaced.
+    at all. Long texts are counted whole. An empty table gives no rows. Columns of ``docs`` may have
+    any name; those called like a column that is added are replaced by it.
     """
     count = tokens if tokens is not None else F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \x09-\x0D]+"))
     names = [f"mix_{c}" for c in levels]
-    full = docs.withColumns(dict(zip(names, map(F.expr, levels.values()))) | {"mix_tokens": count.cast("long")})
-    full = full.withColumn("mix_place", F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    added = [*names, "mix_tokens", "mix_epoch"]
+    kept = [c for c in docs.columns if c.lower() not in map(str.lower, added)]
+    place = F.md5(F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    # Columns of the input go by number, so that no helper's name can clash with theirs.
+    full = docs.select(*[F.expr(e).alias(c) for c, e in zip(names, levels.values())], count.cast("long").alias("mix_tokens"), place.alias("mix_place"),
+                       *[F.col(f"`{c}`").alias(f"doc_column_{i}") for i, c in enumerate(kept)])
     rows = written(full.select(*names, "mix_tokens", "mix_place"), "mixing")
     leaves = rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     given = (allocation(leaves, names, weights, budget, epochs)
@@ -103,4 +108,4 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: list[dict[str, float]]
         chosen = chosen.where("times > 0").withColumn("mix_epoch", F.lit(1))
     else:
         chosen = chosen.where("times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return chosen.drop(*leaf, "whole", "last", "times", "mix_place")
+    return chosen.select(*[F.col(f"doc_column_{i}").alias(c) for i, c in enumerate(kept)], *added)

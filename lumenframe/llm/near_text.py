@@ -18,13 +18,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lumenframe.llm.tables import written
+from lumenframe.llm.tables import arrow_rows, written
 from lumenframe.operators.components import connected_components
 
 BANDS, ROWS = 20, 4             # a pair at 0.8 misses every band once in 37,000
 COMPARED, STEP = 64, 16         # further values for the Bayesian comparison, and how many at a time
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 19
 SLAB = 4096                     # shingles verified at a time
+ARROW_ROWS = 1_000              # rows handed to Python at a time
 SEED = 20240229
 
 
@@ -171,14 +172,15 @@ def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: fl
     with the same words, ``n_links`` the number of other rows linked directly, copies included.
     ``kept`` marks the one document of each class with the smallest id. Rows without words (null,
     empty or blank texts) have no shingles and link with nothing; a null id stays null, its row is
-    linked but never a class id unless its class has no other, and ``kept`` only then. Equal rows
-    are copies; rows that repeat id and text are all marked as kept. Other columns are left out.
+    linked but never a class id unless its class has no other, and ``kept`` only then. Long texts are
+    compared whole; an empty table gives no rows. Equal rows are copies; rows that repeat id and text are all marked as kept. Other columns are left out.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("same", F.md5("body"))
     # Through pandas the id goes as text: a null among whole numbers would make them floating point.
-    described = written(describe(rows.select(F.col("doc").cast("string"), "same", "body"), n).withColumn("doc", F.col("doc").cast("long")), "near-text")
+    with arrow_rows(spark, ARROW_ROWS):
+        described = written(describe(rows.select(F.col("doc").cast("string"), "same", "body"), n).withColumn("doc", F.col("doc").cast("long")), "near-text")
     texts = (described.where("key is not null").groupBy("key")
              .agg(F.min("doc").alias("first"), F.min(F.struct("doc", "same")).alias("body_of"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("values").alias("values")))
     texts = written(texts, "near-text-keys")
@@ -214,7 +216,8 @@ def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: fl
         # Object columns: Arrow keeps joined text columns in several chunks, which the way back to Spark does not take.
         return pd.concat(out).astype({"key": object, "low": object}) if out else pd.DataFrame({"key": [], "low": [], "links": []}).astype({"key": object, "low": object, "links": "int64"})
 
-    found = written(met.withColumn("task", task).groupBy("task").applyInPandas(meet, "key string, low string, links long"), "near-text-links")
+    with arrow_rows(spark, ARROW_ROWS):
+        found = written(met.withColumn("task", task).groupBy("task").applyInPandas(meet, "key string, low string, links long"), "near-text-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joins = found.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     classes = connected_components(links.select(F.col("key").alias("node")), joins).select(F.col("node").alias("key"), F.col("component").alias("cls"))
@@ -233,11 +236,16 @@ def near_text(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: fl
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, all columns as they are.
+    """The rows of ``docs`` with one document of each class, all columns as they are, whatever their names.
 
-    Of rows that repeat id and text, one stays.
+    Of rows that repeat id and text, one stays. Rows without words (null, empty or blank texts) are
+    classes of their own; a null id stays only in a class without other ids. Between documents of a
+    class the smallest id decides, so there are no ties. Long texts are compared whole. An empty
+    table gives no rows.
     """
-    kept = near_text(docs, id=id, text=text, **settings).where("kept").select(F.col(id).cast("long").alias("__kept_id"), F.col("body_md5").alias("__kept_md5")).distinct()
-    marked = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = marked.join(kept, F.col(id).cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__md5") == F.col("__kept_md5")), "left_semi")
-    return joined.dropDuplicates([id, "__md5"]).drop("__md5")
+    kept = near_text(docs, id=id, text=text, **settings).where("kept").select(F.col(id).cast("long").alias("kept_id"), F.col("body_md5").alias("kept_md5")).distinct()
+    # Columns of the input go by number, so that no helper's name can clash with theirs.
+    names = {c: f"doc_column_{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.toDF(*names.values()).withColumn("md5", F.md5(F.coalesce(F.col(names[text]), F.lit(""))))
+    joined = marked.join(kept, F.col(names[id]).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("md5") == F.col("kept_md5")), "left_semi")
+    return joined.dropDuplicates([names[id], "md5"]).drop("md5").toDF(*names)

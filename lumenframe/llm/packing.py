@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id: st
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
     # The place in the high bits, a hash of the id in the low ones.
     order = F.shiftleft(F.col("place"), 32).bitwiseOR(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1)))
-    dealt = encoded.withColumn("order", order).repartitionByRange(ranges, "order").sortWithinPartitions("order", "doc", "size")
+    dealt = encoded.withColumn("order", order).repartitionByRange(ranges, "order").sortWithinPartitions("order", "doc", "size", "ids")
     shared = vocabulary_is_wide(path)
     pieces = dealt.select("doc", "size", "ids").mapInPandas(
         lambda frames: fill(frames, length, shared),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 PASSAGE = 1024          # bytes of a passage, more in long texts
 PASSAGES = 64           # at most so many cover a text
-GROUP_BYTES = 1 << 22   # text encoded together
+GROUP_BYTES = 1 << 18   # text encoded together; scores do not depend on it
 KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",;:", b"!?",
          b"|", b"#$%&*@^~+=<>/\\_`", b"()[]{}", b"'\"", b"-"]
 WIDTH = 16
@@ -40,8 +40,8 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             counts.append(len(own))
             pieces += own
         sizes = np.array([len(p) for p in pieces])
-        kind = KIND[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int64)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        kind = KIND[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         single = np.bincount(owner * WIDTH + kind, minlength=len(pieces) * WIDTH).reshape(len(pieces), WIDTH)
         double = np.bincount(owner[:-1] * WIDTH ** 2 + kind[:-1] * WIDTH + kind[1:], minlength=len(pieces) * WIDTH ** 2).reshape(len(pieces), WIDTH ** 2)
         room = np.maximum(sizes, 1)[:, None]
@@ -124,11 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id: str = "
     """A model of P(label 1), or that probability itself where the training labels are all alike (0.5 without any).
 
     Trained on at most ``sample`` labelled documents outside the held-out fold, those with the
-    smallest hash of their id; a document with several labels takes their rounded mean.
+    smallest hash of their id; a document with several labels takes their rounded mean, an id with
+    several texts the first of them. Null labels and ids teach nothing; null texts count as empty,
+    long ones are read whole.
     """
     known = (labels.where(F.col(target).isNotNull() & F.col(id).isNotNull() & ~held_out(id)).groupBy(F.col(id).alias("doc"))
              .agg((F.avg(target) >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc"), "doc").limit(sample))
-    picked = docs.select(F.col(id).alias("doc"), F.col(text).alias("body")).join(F.broadcast(known), "doc").select("doc", "label", "body")
+    picked = docs.select(F.col(id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(known), "doc").groupBy("doc", "label").agg(F.min("body").alias("body"))
+    kind = docs.schema[id].dataType.simpleString()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id: str = "
             stop = np.cumsum(counts)
             yield pd.DataFrame({"doc": frame["doc"], "label": frame["label"], "n": counts, "x": [x[b - n:b].tobytes() for b, n in zip(stop, counts)]})
 
-    bags = sorted(picked.mapInPandas(encode, "doc long, label int, n long, x binary").collect(), key=lambda r: (r.doc, r.x))
+    bags = sorted(picked.mapInPandas(encode, f"doc {kind}, label int, n long, x binary").collect(), key=lambda r: (r.doc, r.x))
     label = np.array([r.label for r in bags], float)
     if not len(label) or label.min() == label.max():
         return float(label[0]) if len(label) else 0.5
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id: str = "
 
 
 def scorer(docs: DataFrame, model: dict[str, np.ndarray] | float):
-    """A column function: text -> score between 0 and 1. A null text counts as empty."""
+    """A column function: text -> score between 0 and 1. A null text counts as empty, a long one is read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -167,7 +170,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
     """(id, held_out, score, predicted) of every row.
 
     Whole texts are read; a null or empty text has one empty passage. Only the text decides a
-    score: equal texts score alike. Rows with a null id are scored too. An empty table gives no
+    score: equal texts score alike, repeated rows each get it. Rows with a null id are scored too. An empty table gives no
     rows. Other columns are left out.
     """
     score = scorer(docs, fit(docs, labels, target, id, text, sample))

@@ -22,7 +22,7 @@ import json
 import numpy as np
 
 CHUNK = 512             # bytes that one lane reads
-BATCH_CHARS = 1 << 20   # characters that are processed together
+BATCH_CHARS = 1 << 19   # characters that are processed together
 MAX_STATES = 120_000    # the table is begun anew above this; results do not depend on it
 LETTER, NUMBER, MARK, SPACE_LIKE, SPACE, EDGE, UNSEEN = 0, 1, 2, 3, 4, 9, 255
 PAD = 255               # a byte that UTF-8 never uses

@@ -90,6 +90,32 @@ def test_near_text(spark, odd):
     assert sorted((str(r.doc_id) for r in alone.collect())) == ["2", "None"]
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(i, PROSE, "en", "a", i) for i in (4, 2)] + [(5, "other words stand here all day", "en", "a", 7)]
+    names = {"__md5": "x", "md5": "y", "kept_id": "z", "kept_md5": "w", "doc_column_0": "v", "doc_column_4": "u"}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long").withColumns({c: F.lit(v) for c, v in names.items()})
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.n, *[r[c] for c in names]) for r in kept.collect()) == [(2, 2, *names.values()), (5, 7, *names.values())]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["whole", "last", "times", "rest", "hash", "range", "at_mix_lang", "up_mix_lang", "c_at_mix_lang", "mix_place", "doc_column_0", "given", "Tokens"]
+    frame = spark.createDataFrame([(i, "a b c", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    frame = frame.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for epochs, budget in ((1, 0.5), (2, 1.5)):
+        out = mix(frame, {"lang": "lang"}, [{}], budget, epochs)
+        assert out.columns == [*frame.columns, "mix_lang", "mix_tokens", "mix_epoch"]
+        got = out.collect()
+        assert len(got) == 40 * budget and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    replaced = mix(frame.withColumn("mix_epoch", F.lit("x")), {"lang": "lang"}, [{}], 1.0)
+    assert replaced.columns == [*frame.columns, "mix_lang", "mix_tokens", "mix_epoch"] and replaced.first().mix_epoch == 1
+
+
+def test_quality_learns_one_text_of_an_id(spark, odd, labels):
+    assert quality_scores(odd.withColumn("doc_id", F.col("doc_id").cast("string")), labels.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == odd.count()
+
+
 def test_mixing(spark, odd):
     levels = {"lang": "lang", "source": "source"}
     whole = mix(odd, levels, [{}, {}], 1.0)
@@ -148,7 +174,8 @@ def test_chat(spark):
 def test_pipeline_stages(spark, odd, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
-    frame = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    clash = {c: F.lit(c) for c in ("whole", "last", "times", "at_mix_lang", "__md5", "block", "key", "doc")}
+    frame = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns(clash)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, frame, folder)
         if name != "packing":
