@@ -25,6 +25,7 @@ RN, RANGE, BLOCK, TARGET = "__rn", "__range", "__block", "__target"
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 100_000
 SAMPLE_PER_RANGE = 64
+RANGE_ROWS = 8_000_000      # rows that a range holds, about, however few partitions the session asks for
 
 
 class SortKey(NamedTuple):
@@ -158,9 +159,9 @@ def layout(df: DataFrame, order_by, partition_by: Sequence[str] = (), ranges: in
     keys, part = sort_keys(order_by), list(partition_by)
     require(df, part + [k.name for k in keys])
     full = [SortKey(p) for p in part] + keys
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean = normalise_missing(df.select(*[col(n) for n in dict.fromkeys(k.name for k in full)]))
     rows = clean.count()
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
     return Layout(_bounds(clean, full, ranges, rows) if ranges > 1 and rows else [], rows)
 
 

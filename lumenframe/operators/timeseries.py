@@ -229,7 +229,8 @@ def forecast_boosted(series: DataFrame, horizon: int = 12, freq: str = "M", by:
     """Boosted trees on the last three values and the time index, predicted step by step.
 
     One model is trained on the lag rows of all series. Every step predicts all series at
-    once, and its result becomes the next step's first lag.
+    once, and its result becomes the next step's first lag. Series of ten periods or fewer have
+    null forecasts.
     """
     keys = [col(b) for b in by]
     packer = VectorAssembler(inputCols=["l1", "l2", "l3", "t"], outputCol="features")
@@ -257,7 +258,15 @@ def forecast_boosted(series: DataFrame, horizon: int = 12, freq: str = "M", by:
 
     numbered = series.select(*keys, "period", F.coalesce("value", F.lit(0.0)).cast("double").alias("y"),
                              (F.row_number().over(_series(by)) - 1).alias("t"),
-                             F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("size")).where("size > 10")
+                             F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("size"))
+    short = numbered.where("size <= 10").groupBy(*keys).agg(F.max("period").alias("last_period"))
+    none = F.lit(None).cast("double")
+    short = _bands(short.select(*keys, "last_period", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), none.alias("forecast"), none.alias("rmse")), by, freq)
+    if not by:
+        short = short.where("period is not null")
+    numbered = numbered.where("size > 10")
+    if numbered.isEmpty():
+        return short
     test = F.least(F.lit(6), F.greatest(F.lit(1), F.floor(F.col("size") * 0.2))).cast("int")
     numbered = numbered.withColumn("test", test)
     train = numbered.where(F.col("t") < F.col("size") - F.col("test")).withColumn("n", F.col("size") - F.col("test"))
@@ -275,4 +284,4 @@ def forecast_boosted(series: DataFrame, horizon: int = 12, freq: str = "M", by:
     rmse = scored.select(*keys, _errors(F.col("a"), F.slice("f", F.lit(1), F.size("a")))["rmse"].alias("rmse"))
     future = future.join(rmse, list(by)) if by else future.withColumn("rmse", rmse.scalar())
     out = future.select(*keys, "last_period", "rmse", F.posexplode("f").alias("at", "raw"))
-    return _bands(out.withColumns({"step": F.col("at") + 1, "forecast": F.greatest(F.lit(0.0), F.col("raw"))}), by, freq)
+    return _bands(out.withColumns({"step": F.col("at") + 1, "forecast": F.greatest(F.lit(0.0), F.col("raw"))}), by, freq).union(short)

@@ -75,16 +75,14 @@ def _resample(freq: str, agg: str, source: str, empty: str = "v") -> str:
   s as (select unnest(generate_series(min(period), max(period), {step})) as period from p) select s.period, {empty} as value from s left join p on s.period = p.period)"""
 
 
-# A sparse day series: some days have no order.
-SPARSE = "(select * from orders where o_custkey % 50 = 0)"
 for _freq in UNITS:
-    query(f"O2_O3_resample_{UNITS[_freq][0]}", f"select period, {r('value', 2)} as value from {_resample(_freq, 'sum(o_totalprice)', SPARSE, 'coalesce(v, 0)')}")(
-        lambda spark, d, f=_freq: show(ts.resample(table(spark, d, "orders").where("o_custkey % 50 = 0"), "o_orderdate", "o_totalprice", f), 2))
+    query(f"O2_O3_resample_{UNITS[_freq][0]}", f"select period, {r('value', 2)} as value from {_resample(_freq, 'sum(o_totalprice)', 'orders', 'coalesce(v, 0)')}")(
+        lambda spark, d, f=_freq: show(ts.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", f), 2))
 
 
-@query("O2_resample_mean_period_end", f"select cast(last_day(period) as timestamp) as period, {r('value')} as value from {_resample('M', 'avg(o_totalprice)', SPARSE)}")
+@query("O2_resample_mean_period_end", f"select cast(last_day(period) as timestamp) as period, {r('value')} as value from {_resample('M', 'avg(o_totalprice)', 'orders')}")
 def resample_end(spark, d):
-    return show(ts.resample(table(spark, d, "orders").where("o_custkey % 50 = 0"), "o_orderdate", "o_totalprice", "M", "mean", label="end"))
+    return show(ts.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "M", "mean", label="end"))
 
 
 def _gaps(freq: str, agg: str, shown: str = "s.period") -> str:
@@ -286,31 +284,34 @@ def segment_summary(spark, d):
     return out.select("segment", "n", rounded("total", 2).alias("total"), rounded("average", 3).alias("average"), "min", "max")
 
 
-@query("P6_template_aggregation", """
-select o_orderpriority, cast(count(*) as bigint) as record_count, round(avg(try_cast(o_totalprice as double)) + 3e-7, 2) as avg_charges, round(sum(try_cast(o_totalprice as double)) + 3e-7, 2) as total_revenue
-from orders group by o_orderpriority""")
-def template_aggregation(spark, d):
-    return query_table(table(spark, d, "orders"), """
-        select o_orderpriority, count(*) as record_count, round(avg(try_cast(o_totalprice as double)) + 3e-7, 2) as avg_charges,
-        round(sum(try_cast(o_totalprice as double)) + 3e-7, 2) as total_revenue from df group by o_orderpriority""")
+# Ready-made questions to a table, in SQL: how values spread, which rows stand out, how a share moves.
+SPREAD = """select o_orderstatus, {count} as orders, {spread} as price_range, {middle} as middle_price from {source} where o_totalprice is not null group by o_orderstatus"""
 
 
-@query("P6_template_filter_in_steps", """
-with high_value as (select * from orders where try_cast(o_totalprice as double) > 300000)
-select o_orderstatus, cast(count(*) as bigint) as high_value_orders, round(avg(o_custkey) + 3e-7, 1) as avg_key from high_value group by 1""")
-def template_cte(spark, d):
-    return query_table(table(spark, d, "orders"), """
-        with high_value as (select * from df where try_cast(o_totalprice as double) > 300000)
-        select o_orderstatus, count(*) as high_value_orders, round(avg(o_custkey) + 3e-7, 1) as avg_key from high_value group by 1""")
+@query("P6_template_aggregation", SPREAD.format(source="orders", count="cast(count(*) as bigint)", spread=r("max(o_totalprice) - min(o_totalprice)", 2), middle=r("median(o_totalprice)", 2)))
+def template_spread(spark, d):
+    return query_table(table(spark, d, "orders"), SPREAD.format(
+        source="df", count="count(*)", spread="round(max(o_totalprice) - min(o_totalprice) + 3e-7, 2)", middle="round(percentile(o_totalprice, 0.5) + 3e-7, 2)"))
 
 
-@query("P6_template_rate_by_segment", """
-select o_orderpriority, cast(count(*) as bigint) as total, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as finished,
-  round(avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) * 100 + 3e-7, 1) as finished_pct from orders group by 1""")
-def template_rate(spark, d):
-    return query_table(table(spark, d, "orders"), """
-        select o_orderpriority, count(*) as total, sum(case when o_orderstatus = 'F' then 1 else 0 end) as finished,
-        round(avg(case when o_orderstatus = 'F' then 1D else 0D end) * 100 + 3e-7, 1) as finished_pct from df group by 1""")
+# Orders over twice what their customer pays on average, in two steps.
+STANDING_OUT = """with usual as (select o_custkey as who, avg(o_totalprice) as pays from {source} group by o_custkey)
+  select o_orderkey, o_custkey, round(o_totalprice / pays + 3e-7, 3) as times_usual from {source} join usual on who = o_custkey where o_totalprice > 2 * pays"""
+
+
+@query("P6_template_filter_in_steps", STANDING_OUT.format(source="orders"))
+def template_standing_out(spark, d):
+    return query_table(table(spark, d, "orders"), STANDING_OUT.format(source="df"))
+
+
+# The share of urgent orders by year, and its change on the year before.
+URGENT = """with yearly as (select extract(year from o_orderdate) as y, avg(if(o_orderpriority = '1-URGENT', 1e0, 0e0)) as urgent from {source} group by 1)
+  select cast(y as bigint) as year, round(100 * urgent + 3e-7, 2) as urgent_percent, round(100 * (urgent - lag(urgent) over (order by y)) + 3e-7, 2) as change from yearly"""
+
+
+@query("P6_template_rate_by_segment", URGENT.format(source="orders"))
+def template_urgent(spark, d):
+    return query_table(table(spark, d, "orders"), URGENT.format(source="df"))
 
 
 @query("P8_signals", f"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lumenframe.functions import maths
-from lumenframe.operators import aggregates as ag, filters as fl, joins as jn, projection as pj, sampling as sp, sets as st
+from lumenframe.operators import aggregates as ag, filters as fl, joins as jn, projection as pj, sampling as sp, sets as st, timed_joins as tj
 from lumenframe.operators.windows import top_k_per_group
 from lumenframe.plans.registry import query, r, rounded, show, table
 from lumenframe.session import ensure_checkpoint_dir
@@ -65,19 +65,18 @@ def preview(spark, d):
     return page.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("A25_customer_revenue_view", f"""
-select c.c_name, c.c_mktsegment, c.c_nationkey, cast(count(o.o_orderkey) as bigint) as total_orders,
-  {r('sum(o.o_totalprice)', 2)} as total_spent
-from customer c join orders o on c.c_custkey = o.o_custkey where o.o_orderstatus = 'F'
-group by c.c_custkey, c.c_name, c.c_mktsegment, c.c_nationkey""")
+# What each nation's customers paid for orders that are finished, kept as a view that joins, filters, groups and rounds.
+PAID = """select n.n_name as nation, count(distinct finished.o_custkey) as buyers, count(*) as finished_orders, {mean} as mean_order
+  from (select o_custkey, o_totalprice from orders where o_orderstatus = 'F') finished
+  join customer buyer on buyer.c_custkey = finished.o_custkey join nation n on n.n_nationkey = buyer.c_nationkey group by n.n_name"""
+
+
+@query("A25_customer_revenue_view", PAID.format(mean=r("avg(finished.o_totalprice)", 2)))
 def customer_revenue(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("customer")
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    spark.sql("""create or replace temporary view v_customer_revenue as
-        select c.c_name, c.c_mktsegment, c.c_nationkey, count(o.o_orderkey) as total_orders, sum(o.o_totalprice) as total_spent
-        from customer c join orders o on c.c_custkey = o.o_custkey where o.o_orderstatus = 'F'
-        group by c.c_custkey, c.c_name, c.c_mktsegment, c.c_nationkey""")
-    return show(spark.table("v_customer_revenue"), 2)
+    for name in ("orders", "customer", "nation"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    spark.sql(f"create or replace temporary view paid_by_nation as {PAID.format(mean='avg(finished.o_totalprice)')}")
+    return show(spark.table("paid_by_nation"), 2)
 
 
 def _folder(spark, name):
@@ -345,6 +344,61 @@ def cross_join(spark, d):
     return jn.join(table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name"), how="cross")
 
 
+PURCHASE_VIEW = """(select event_id, user_id, ts from events where event_type = 'purchase') p
+  asof left join (select event_id as view_id, user_id, ts as view_ts from events where event_type = 'view') v on p.user_id = v.user_id and p.ts {sign} v.view_ts"""
+
+
+def purchases_and_views(spark, d):
+    events = table(spark, d, "events")
+    return (events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"),
+            events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("view_ts")))
+
+
+@query("D6_asof_last_view", f"select p.event_id, p.user_id, p.ts, v.view_id, v.view_ts from {PURCHASE_VIEW.format(sign='>=')}")
+def asof_last(spark, d):
+    return tj.asof_join(*purchases_and_views(spark, d), "ts", "view_ts", "user_id", tie="view_id")
+
+
+@query("D6_asof_next_view_in_half_a_day", f"""
+select event_id, user_id, ts, case when near then view_id end as view_id, case when near then view_ts end as view_ts
+from (select p.*, v.view_id, v.view_ts, v.view_ts - p.ts <= interval 12 hours as near from {PURCHASE_VIEW.format(sign='<=')})""")
+def asof_next(spark, d):
+    return tj.asof_join(*purchases_and_views(spark, d), "ts", "view_ts", "user_id", direction="forward", tolerance="12 hours", tie="view_id")
+
+
+OPEN = """(select o_orderkey, o_custkey, o_orderdate, max(l_shipdate) as done from orders join lineitem on l_orderkey = o_orderkey group by all)"""
+
+
+def open_orders(spark, d):
+    done = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("done"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(done, "o_orderkey")
+
+
+@query("D6_interval_join_orders_placed_meanwhile", f"""
+select p.o_orderkey as placed, w.o_orderkey as waiting, p.o_custkey, p.o_orderdate from orders p
+join {OPEN} w on p.o_custkey = w.o_custkey and p.o_orderdate between w.o_orderdate and w.done where p.o_orderkey <> w.o_orderkey""")
+def placed_meanwhile(spark, d):
+    placed = table(spark, d, "orders").select(F.col("o_orderkey").alias("placed"), "o_custkey", "o_orderdate")
+    waiting = open_orders(spark, d).select(F.col("o_orderkey").alias("waiting"), "o_custkey", F.col("o_orderdate").alias("since"), "done")
+    return tj.interval_join(placed, waiting, "o_orderdate", "since", "done", "o_custkey").where("placed <> waiting").drop("since", "done")
+
+
+@query("D6_overlap_join_open_orders", f"""
+select a.o_custkey, a.o_orderkey as one, b.o_orderkey as other from {OPEN} a
+join {OPEN} b on a.o_custkey = b.o_custkey and a.o_orderdate <= b.done and b.o_orderdate <= a.done
+where a.o_orderkey < b.o_orderkey and a.o_orderdate <= a.done and b.o_orderdate <= b.done""")
+def open_together(spark, d):
+    out = tj.overlap_join(open_orders(spark, d), open_orders(spark, d), ("o_orderdate", "done"), ("o_orderdate", "done"), "o_custkey")
+    return out.where("o_orderkey_x < o_orderkey_y").select("o_custkey", F.col("o_orderkey_x").alias("one"), F.col("o_orderkey_y").alias("other"))
+
+
+@query("D6_band_join_balances", """
+select c_custkey, s_suppkey from customer join supplier on c_acctbal between s_acctbal - 25 and s_acctbal + 25""")
+def balances(spark, d):
+    bands = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 25).alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return tj.interval_join(table(spark, d, "customer").select("c_custkey", "c_acctbal"), bands, "c_acctbal", "low", "high").select("c_custkey", "s_suppkey")
+
+
 @query("D6_semi_anti_join", """
 select 'with' as kind, c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')
 union all select 'without', c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')""")
