@@ -1,13 +1,15 @@
 """Hypothesis tests from grouped aggregates; each returns one row.
 
-Rank tests use the asymptotic p-value at every sample size.
+Rank tests of small samples without ties have exact p-values, others asymptotic ones. The forms
+with ``per`` test every group of a table at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumenframe.functions import dist
 from lumenframe.functions.columns import col, number, safe_div
@@ -119,23 +121,103 @@ def _ties(n: Column) -> Column:
     return d * d * d - d
 
 
+EXACT_SIDE, EXACT_PAIRS = 8, 1_000_000  # exact if a sample has so many values or fewer, and the pairs are no more
+EXACT_SIGNED = 50                       # exact for so many differences or fewer
+
+
+def rank_sum_ways(n1: int, n2: int) -> list[int]:
+    """In how many ways n1 of n1 + n2 ranks give each U, from 0 to n1 * n2: the coefficients of a Gaussian binomial."""
+    small, large = sorted((n1, n2))
+    ways = [1] + [0] * (small * large)
+    for i in range(1, small + 1):
+        for u in range(len(ways) - 1, large + i - 1, -1):   # times 1 - q^(large + i)
+            ways[u] -= ways[u - large - i]
+        for u in range(i, len(ways)):                       # over 1 - q^i
+            ways[u] += ways[u - i]
+    return ways
+
+
+def signed_rank_ways(n: int) -> list[int]:
+    """In how many ways signs of the ranks 1 to n give each sum of the positive ones."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        ways = [a + b for a, b in zip(ways + [0] * rank, [0] * rank + ways)]
+    return ways
+
+
+def _two_sided(ways: list[int], statistic: float) -> float:
+    """Twice the share of ways at least as far out as the statistic, one at most. The distribution is symmetric."""
+    low = int(min(statistic, len(ways) - 1 - statistic))
+    return min(1.0, 2 * sum(ways[:low + 1]) / sum(ways))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    """Exact p-value of U; null where any input is."""
+    known: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for a, b, s in zip(n1, n2, u):
+        if pd.isna(a) or pd.isna(s):
+            out.append(None)
+            continue
+        key = (int(a), int(b))
+        known = known if key in known or len(known) < 1_000 else {}
+        out.append(_two_sided(known.setdefault(key, rank_sum_ways(*key)) if key not in known else known[key], s))
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank_p(n: pd.Series, w: pd.Series) -> pd.Series:
+    """Exact p-value of the smaller rank sum; null where any input is."""
+    known = {int(k): signed_rank_ways(int(k)) for k in n.dropna().unique()}
+    return pd.Series([None if pd.isna(k) or pd.isna(s) else _two_sided(known[int(k)], s) for k, s in zip(n, w)], dtype="float64")
+
+
+def _mann_whitney_rows(s: DataFrame, keys: list[Column]) -> DataFrame:
+    """Test results from n1, n2, the first sample's rank sum r1 and the sum t over ties."""
+    n = F.col("n1") + F.col("n2")
+    product = F.col("n1") * F.col("n2")
+    out = s.select(*keys, "n1", "n2", "t", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("statistic"),
+                   F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - safe_div(F.col("t"), n * (n - 1)))).alias("sd"))
+    z = safe_div(F.greatest(F.col("statistic"), product - F.col("statistic")) - product / 2 - 0.5, F.col("sd"))
+    exact = (F.col("t") == 0) & (F.least("n1", "n2") > 0) & (F.least("n1", "n2") <= EXACT_SIDE) & (product <= EXACT_PAIRS)
+    asked = [F.when(exact, c) for c in (F.col("n1"), F.col("n2"), F.col("statistic"))]
+    both = F.col("n1") * F.col("n2") > 0
+    p = F.when(exact, _rank_sum_p(*asked)).when(both, F.least(F.lit(1.0), 2 * dist.norm_cdf(-z)))
+    return out.select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "statistic",
+                      (1 - safe_div(2 * F.col("statistic"), product)).alias("effect_size"), p.alias("p_value"), exact.alias("exact"))
+
+
+def mann_whitney_per(df: DataFrame, value: str, by: str, groups: Sequence, per: Sequence[str]) -> DataFrame:
+    """The test of two samples in every group ``per``: its keys, n1, n2, statistic, effect_size, p_value, exact.
+
+    Values rank within their group by ordered scans, so a large group is not brought to one task.
+    A group that lacks a sample has no p-value; null keys are a group.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    one, two = _samples(df, value, by, groups, None)
+    keys = [col(c) for c in per]
+    names = [f"k{i}" for i in range(len(per))]
+    folded = df.select(*[k.alias(n) for k, n in zip(keys, names)], F.coalesce(one, two).alias("v"), one.isNotNull().cast("int").alias("first")).where("v is not null")
+    folded = folded.groupBy(*names, "v").agg(F.sum("first").alias("na"), F.count(F.lit(1)).alias("n")).checkpoint()
+    ranked = running(folded, {"upto": ("sum", "n")}, "v", names)
+    mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    s = ranked.groupBy(*names).agg(F.sum("na").cast("double").alias("n1"), F.sum(F.col("n") - F.col("na")).cast("double").alias("n2"),
+                                   F.sum(F.col("na") * mean_rank).alias("r1"), F.sum(_ties(F.col("n"))).alias("t"))
+    out = _mann_whitney_rows(s, [F.col(n) for n in names])
+    return out.withColumnsRenamed(dict(zip(names, per)))
+
+
 def mann_whitney(df: DataFrame, value: str, by: str | None = None, groups: Sequence | None = None,
                  other: str | None = None) -> DataFrame:
-    """U of the first sample, two-sided normal p with tie and continuity correction, rank-biserial effect."""
+    """U of the first sample, rank-biserial effect, and the two-sided p: exact without ties and with at most
+    EXACT_SIDE values in a sample, else normal with tie and continuity correction."""
     a, b = _samples(df, value, by, groups, other)
     ranked = running(_two_sides(df, a, b).withColumn("n", F.col("na") + F.col("nb")), {"upto": ("sum", "n")}, "v")
     mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
     s = ranked.agg(F.sum("na").cast("double").alias("n1"), F.sum("nb").cast("double").alias("n2"),
                    F.sum(F.col("na") * mean_rank).alias("r1"), F.sum(_ties(F.col("n"))).alias("t"))
-    n = F.col("n1") + F.col("n2")
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - safe_div(F.col("t"), n * (n - 1))))
-    out = s.select("n1", "n2", u.alias("statistic"), sd.alias("sd"))
-    product = F.col("n1") * F.col("n2")
-    z = safe_div(F.greatest(F.col("statistic"), product - F.col("statistic")) - product / 2 - 0.5, F.col("sd"))
-    p = F.least(F.lit(1.0), 2 * dist.norm_cdf(-z))
-    return out.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "statistic",
-                      (1 - safe_div(2 * F.col("statistic"), product)).alias("effect_size"), p.alias("p_value"))
+    return _mann_whitney_rows(s, []).drop("exact")
 
 
 def kruskal_wallis(df: DataFrame, value: str, by: str, min_rows: int = 3) -> DataFrame:
@@ -159,22 +241,41 @@ def kruskal_wallis(df: DataFrame, value: str, by: str, min_rows: int = 3) -> Dat
                     dist.chi2_upper(h, F.col("groups") - 1).alias("p_value"))
 
 
-def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed ranks of the pair differences, zeros left out, normal p with tie correction."""
-    ensure_checkpoint_dir(df.sparkSession)
-    d = number(df, a) - number(df, b)
-    folded = df.select(d.alias("d")).where("d is not null and d <> 0").groupBy(F.abs("d").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up")).checkpoint()
-    ranked = running(folded, {"upto": ("sum", "n")}, "v")
-    mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
-    s = ranked.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("up") * mean_rank).alias("plus"),
-                   F.sum(_ties(F.col("n"))).alias("t"))
+def _wilcoxon_rows(s: DataFrame, keys: list[Column]) -> DataFrame:
+    """Test results from the count n, the positive rank sum and the sum t over ties."""
     n = F.col("n")
     total = n * (n + 1) / 2
     w = F.least(F.col("plus"), total - F.col("plus"))
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
-    p = F.least(F.lit(1.0), 2 * dist.norm_cdf(safe_div(w - total / 2, sd)))
-    return s.select(n.cast("long").alias("n"), w.alias("statistic"), p.alias("p_value"))
+    exact = (F.col("t") == 0) & (n > 0) & (n <= EXACT_SIGNED)
+    p = F.when(exact, _signed_rank_p(F.when(exact, n), F.when(exact, w))).otherwise(F.least(F.lit(1.0), 2 * dist.norm_cdf(safe_div(w - total / 2, sd))))
+    return s.select(*keys, n.cast("long").alias("n"), w.alias("statistic"), p.alias("p_value"), exact.alias("exact"))
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed ranks of the pair differences, zeros left out; the p-value is exact without ties and with at
+    most EXACT_SIGNED differences, else normal with tie correction."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return _wilcoxon_rows(_signed(df, a, b, []), []).drop("exact")
+
+
+def wilcoxon_per(df: DataFrame, a: str, b: str, per: Sequence[str]) -> DataFrame:
+    """The signed-rank test in every group ``per``: its keys, n, statistic, p_value, exact. Groups without a difference have no row."""
+    ensure_checkpoint_dir(df.sparkSession)
+    names = [f"k{i}" for i in range(len(per))]
+    out = _wilcoxon_rows(_signed(df, a, b, list(per)), [F.col(n) for n in names])
+    return out.withColumnsRenamed(dict(zip(names, per)))
+
+
+def _signed(df: DataFrame, a: str, b: str, per: list[str]) -> DataFrame:
+    """n, the sum of the positive ranks and the sum over ties of the differences, in all or per group."""
+    names = [f"k{i}" for i in range(len(per))]
+    d = df.select(*[col(c).alias(n) for c, n in zip(per, names)], (number(df, a) - number(df, b)).alias("d"))
+    folded = d.where("d is not null and d <> 0").groupBy(*names, F.abs("d").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up")).checkpoint()
+    ranked = running(folded, {"upto": ("sum", "n")}, "v", names)
+    mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    return ranked.groupBy(*names).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("up") * mean_rank).alias("plus"), F.sum(_ties(F.col("n"))).alias("t"))
 
 
 def ks_two_sample(df: DataFrame, a: Column, b: Column) -> DataFrame:

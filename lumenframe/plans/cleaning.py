@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.operators import cleaning as cl, profile as pf, quality as ql
+from lumenframe.operators import cleaning as cl, profile as pf, quality as ql, summaries as sm
 from lumenframe.plans.registry import query, r, rounded, show, table
+from lumenframe.streaming.sinks import new_folder
 
 # Order lines with gaps in three columns and some repeated rows.
 DIRTY = """(select l_suppkey, l_linenumber, case when l_orderkey % 17 = 0 then null else l_quantity end as quantity,
@@ -143,6 +144,38 @@ def profile(spark, d):
     return show(pf.profile(t).drop("dtype", "null_pct", "unique_pct", "is_target_candidate"))
 
 
+KEPT = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+def _summary(column: str) -> str:
+    number = column not in ("l_returnflag", "l_shipdate")
+    v = f"cast({column} as double)" if number else "cast(null as double)"
+    return f"""select '{column}' as "column", cast(count(*) as bigint) as rows, cast(count(*) - count({column}) as bigint) as missing, {r(f'avg({v})', 2)} as mean, {r(f'stddev_samp({v})', 2)} as std,
+      min({v}) as min, max({v}) as max, cast(count(distinct {column}) as bigint) as distinct_exact, true as distinct_near, {'true' if number else 'cast(null as boolean)'} as quartiles_near from lineitem"""
+
+
+@query("K1_E6_E7_merged_daily_summaries", " union all ".join(map(_summary, KEPT)))
+def merged_summaries(spark, d):
+    """Summaries of single ship dates, kept in a table and merged; estimates are held against the exact figures."""
+    t = table(spark, d, "lineitem").select(*KEPT, F.col("l_shipdate").alias("day"))
+    path = new_folder(spark, "summaries")
+    sm.keep(sm.summarise(t, KEPT, "day"), path, "yyyy")
+    found = sm.read_out(sm.merge(sm.kept(spark, path)))
+    estimate = {r["column"]: r for r in found.collect()}    # one row for each column
+    checks = [F.array(F.countDistinct(c), F.count(c), *[
+        F.count_if(F.col(c) < F.lit(estimate[c][q])) if estimate[c][q] is not None else F.lit(None).cast("long") for q in ("q25", "q50", "q75")], *[
+        F.count_if(F.col(c) <= F.lit(estimate[c][q])) if estimate[c][q] is not None else F.lit(None).cast("long") for q in ("q25", "q50", "q75")]).alias(c) for c in KEPT]
+    exact = t.agg(*checks)
+    long = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in KEPT])).alias("e")).select("e.*")
+    near = F.lit(True)
+    for i, q in enumerate((0.25, 0.5, 0.75)):
+        near = near & (F.col("x")[2 + i] <= (q + sm.RANK_ERROR) * F.col("x")[1]) & (F.col("x")[5 + i] >= (q - sm.RANK_ERROR) * F.col("x")[1])
+    out = found.join(long, "column").select(
+        "column", "rows", "missing", rounded("mean", 2).alias("mean"), rounded("std", 2).alias("std"), "min", "max", F.col("x")[0].alias("distinct_exact"),
+        (F.abs(F.col("distinct") - F.col("x")[0]) <= sm.DISTINCT_ERROR * F.col("x")[0]).alias("distinct_near"), near.alias("quartiles_near"))
+    return out
+
+
 @query("K3_feature_categories", """select 'numerical' as category, unnest(['l_linenumber', 'l_quantity']) as "column"
 union all select 'categorical_low', unnest(['l_returnflag', 'l_linestatus']) union all select 'datetime', 'l_shipdate' from lineitem where false
 union all select 'datetime', 'l_shipdate'""")

@@ -153,6 +153,43 @@ def mann_whitney(spark, d):
     return out.select("n1", "n2", rounded("statistic", 1).alias("statistic"), rounded("effect_size", 6).alias("effect_size"))
 
 
+def _ways(start: str, step: str, upto: int) -> str:
+    """Numbers of ways by adding one rank after the other, as a chain of tables w0, w1, ...; each holds (n, picked, s, ways)."""
+    chain = [f"w0 as (select {start})"]
+    for i in range(1, upto + 1):
+        chain.append(f"""w{i} as (select {i} as n, picked, s, sum(ways)::double as ways from (
+            select picked, s, ways from w{i - 1} union all select {step.format(i=i)}, s + {i}, ways from w{i - 1}) group by picked, s)""")
+    return ", ".join(chain) + ", w as (" + " union all ".join(f"select n, picked, s, ways from w{i}" for i in range(upto + 1)) + ")"
+
+
+@query("L14_mann_whitney_per_customer", f"""
+with {_ways("0 as n, 0 as picked, 0 as s, 1::double as ways", "picked + 1", 40)},
+t as (select o_custkey, o_totalprice as v, (o_orderstatus = 'F')::int as one from orders where o_orderstatus in ('F', 'O')),
+k as (select *, rank() over (partition by o_custkey order by v) + (count(*) over (partition by o_custkey, v) - 1) / 2.0 as rk, count(*) over (partition by o_custkey, v) as alike from t),
+g as (select o_custkey, sum(one) as n1, sum(1 - one) as n2, sum(rk * one) - sum(one) * (sum(one) + 1) / 2 as u, max(alike) as alike from k group by 1),
+e as (select *, alike = 1 and least(n1, n2) between 1 and 8 as exact from g),
+p as (select o_custkey, least(1.0, 2 * sum(ways) filter (where s - n1 * (n1 + 1) / 2 <= least(u, n1 * n2 - u)) / sum(ways)) as p
+  from e join w on w.n = n1 + n2 and w.picked = n1 where exact group by o_custkey)
+select o_custkey, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, {r('u', 1)} as statistic, exact, {r('p', 6)} as exact_p from e left join p using (o_custkey)""")
+def mann_whitney_per_customer(spark, d):
+    out = hy.mann_whitney_per(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", ["F", "O"], ["o_custkey"])
+    return out.select("o_custkey", "n1", "n2", rounded("statistic", 1).alias("statistic"), "exact", rounded(F.when(F.col("exact"), F.col("p_value")), 6).alias("exact_p"))
+
+
+@query("L16_wilcoxon_per_customer", f"""
+with {_ways("0 as n, 0 as picked, 0 as s, 1::double as ways", "0", 50)},
+k as (select o_custkey, x, rank() over (partition by o_custkey order by abs(x)) + (count(*) over (partition by o_custkey, abs(x)) - 1) / 2.0 as rk, count(*) over (partition by o_custkey, abs(x)) as alike
+  from (select o_custkey, o_totalprice - 225000 as x from orders) where x <> 0),
+g as (select o_custkey, count(*) as n, coalesce(sum(rk) filter (where x > 0), 0) as plus, max(alike) as alike from k group by 1),
+e as (select *, least(plus, n * (n + 1) / 2 - plus) as low, alike = 1 and n <= 50 as exact from g),
+p as (select o_custkey, least(1.0, 2 * sum(ways) filter (where s <= low) / sum(ways)) as p from e join w on w.n = e.n where exact group by o_custkey)
+select o_custkey, cast(n as bigint) as n, {r('low', 1)} as statistic, exact, {r('p', 6)} as exact_p from e left join p using (o_custkey)""")
+def wilcoxon_per_customer(spark, d):
+    t = table(spark, d, "orders").select("o_custkey", "o_totalprice", F.lit(225000.0).alias("level"))
+    out = hy.wilcoxon_per(t, "o_totalprice", "level", ["o_custkey"])
+    return out.select("o_custkey", "n", rounded("statistic", 1).alias("statistic"), "exact", rounded(F.when(F.col("exact"), F.col("p_value")), 6).alias("exact_p"))
+
+
 @query("L15_kruskal_wallis", f"""
 with k as (select l_returnflag as g, l_quantity as v, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as rk from lineitem),
 g as (select g, count(*) as n, sum(rk) as s from k group by 1), t as (select sum(pow(c, 3) - c) as t from (select count(*) * 1.0 as c from k group by v)),
