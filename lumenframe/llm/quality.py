@@ -43,7 +43,9 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         kind = KIND[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         single = np.bincount(owner * WIDTH + kind, minlength=len(pieces) * WIDTH).reshape(len(pieces), WIDTH)
-        double = np.bincount(owner[:-1] * WIDTH ** 2 + kind[:-1] * WIDTH + kind[1:], minlength=len(pieces) * WIDTH ** 2).reshape(len(pieces), WIDTH ** 2)
+        # Neighbours count inside a passage only, so that what stands beside a text has no part in its score.
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        double = np.bincount(owner[inside] * WIDTH ** 2 + kind[inside] * WIDTH + kind[inside + 1], minlength=len(pieces) * WIDTH ** 2).reshape(len(pieces), WIDTH ** 2)
         room = np.maximum(sizes, 1)[:, None]
         packed = np.array([len(zlib.compress(p, 1)) - 8 if p else 0 for p in pieces])[:, None] / room
         features.append(np.hstack([single / room, double / room, packed, np.log1p(sizes)[:, None] / 10]).astype(np.float32))
