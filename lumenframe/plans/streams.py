@@ -80,8 +80,8 @@ def append_kpis(spark, d):
 
 @query("R2_streamed_sessions", f"""
 with {_in_time("ts + interval '6 hours'", '2 days')},
-  g as (select *, coalesce(ts >= lag(ts) over w + interval '6 hours', true)::int as fresh from taken window w as (partition by user_id order by ts, event_id)),
-  s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as no from g)
+  g as (select *, coalesce(ts >= lag(ts) over w + interval '6 hours', true)::int as fresh from taken window w as (partition by user_id order by ts, event_id, part)),
+  s as (select *, sum(fresh) over (partition by user_id order by ts, event_id, part rows unbounded preceding) as no from g)
 select user_id, min(ts) as session_start, max(ts) + interval '6 hours' as session_end, cast(count(*) as bigint) as n, {r('sum(value)', 2)} as total
 from s, final group by user_id, no, mark having max(ts) + interval '6 hours' <= mark""")
 def streamed_sessions(spark, d):
