@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from lumenframe.functions.columns import col, number, numeric_columns, string_columns
 from lumenframe.operators.baskets import association_rules
 from lumenframe.operators.dbscan import dbscan
+from lumenframe.operators.minibatch import minibatch_kmeans
+from lumenframe.operators.ward import ward
 
 SCALED = "scaled"
 
@@ -41,9 +43,10 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int = 3, algorithm: str =
             min_samples: int = 5, key: str | None = None, seed: int = 42) -> Clusters:
     """Cluster per row with two principal coordinates, sizes and silhouette.
 
-    kmeans and minibatch_kmeans are Spark's k-means; hierarchical is its top-down bisecting
-    form; gmm a Gaussian mixture; dbscan needs a unique ``key`` column. The silhouette uses
-    squared distances.
+    kmeans is Spark's k-means, bisecting its top-down form, gmm a Gaussian mixture.
+    minibatch_kmeans moves centres by hash-drawn batches (rows with equal columns are drawn together
+    without ``key``); hierarchical is Ward's criterion on clustering features; dbscan needs a
+    unique ``key`` column. The silhouette uses squared distances.
     """
     rows, names = scaled_vectors(df, columns)
     if algorithm == "dbscan":
@@ -53,18 +56,23 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int = 3, algorithm: str =
         points = z.select(col(key), *[F.col("__v")[i].alias(f"z{i}") for i in range(len(names))])
         labels = dbscan(points, key, [f"z{i}" for i in range(len(names))], eps, min_samples)
         labelled = rows.join(labels.withColumnRenamed(key, "__key"), col(key) == F.col("__key")).drop("__key")
+    elif algorithm in ("hierarchical", "minibatch_kmeans"):
+        z = rows.withColumn("__v", vector_to_array(SCALED))
+        places = [f"__z{i}" for i in range(len(names))]
+        z = z.withColumns({p: F.col("__v")[i] for i, p in enumerate(places)})
+        labelled = (ward(z, places, k) if algorithm == "hierarchical"
+                    else minibatch_kmeans(z, [key] if key else names, places, k, seed=seed).drop("distance")).drop("__v", *places)
     else:
         learners = {
             "kmeans": lambda: KMeans(k=k, seed=seed, initSteps=5, featuresCol=SCALED, predictionCol="cluster"),
-            "minibatch_kmeans": lambda: KMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="cluster"),
-            "hierarchical": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="__moved", predictionCol="cluster"),
+            "bisecting": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="__moved", predictionCol="cluster"),
             "gmm": lambda: GaussianMixture(k=k, seed=seed, featuresCol=SCALED, predictionCol="cluster"),
         }
         if algorithm not in learners:
             raise ValueError(f"unknown algorithm: {algorithm}")
         # Bisecting k-means splits by noise in proportion to the centre, which must not be the origin.
         moved = array_to_vector(F.transform(vector_to_array(SCALED), lambda v: v + 10.0))
-        ready = rows.withColumn("__moved", moved) if algorithm == "hierarchical" else rows
+        ready = rows.withColumn("__moved", moved) if algorithm == "bisecting" else rows
         labelled = learners[algorithm]().fit(ready).transform(ready).drop("probability", "__moved")
     pca = PCA(k=2, inputCol=SCALED, outputCol="__pc").fit(rows)
     out = pca.transform(labelled).withColumn("__pc", vector_to_array("__pc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lumenframe.operators import baskets as bk, clusters as cl, isolation as iso, models as md, neighbours as nb
+from lumenframe.operators import baskets as bk, clusters as cl, isolation as iso, minibatch as mb, models as md, neighbours as nb, ward as wd
 from lumenframe.operators.dbscan import dbscan
 from lumenframe.plans.registry import query, r, rounded, show, table
 
@@ -184,9 +184,59 @@ def clustered(algorithm, **settings):
     return run
 
 
-for _name, _algorithm in (("Q24_kmeans", "kmeans"), ("Q25_gaussian_mixture", "gmm"), ("Q26_hierarchical", "hierarchical")):
+for _name, _algorithm in (("Q24_kmeans", "kmeans"), ("Q25_gaussian_mixture", "gmm"), ("Q26_hierarchical", "hierarchical"), ("Q26_bisecting", "bisecting"), ("Q24_minibatch_kmeans", "minibatch_kmeans")):
     query(_name)(clustered(_algorithm))
 
+@query("Q24_minibatch_cost", """
+select cast(count(*) as bigint) as n, 6 as clusters, true as nearest, true as near_full_cost from lineitem""")
+def minibatch_cost(spark, d):
+    """Mini-batch centres over all rows: every row with its nearest centre, cost at most 1.15 of full k-means."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 500).alias("discount"))
+    key, columns = ["l_orderkey", "l_linenumber"], ["l_quantity", "discount"]
+    means = mb.minibatch_centres(t, key, columns, 6).means
+    rows = mb.minibatch_kmeans(t, key, columns, 6)
+    least = F.least(*[sum(((F.col(c) - F.lit(float(m[j]))) * (F.col(c) - F.lit(float(m[j]))) for j, c in enumerate(columns)), F.lit(0.0)) for m in means])
+    full = cl.KMeans(k=6, seed=42, initSteps=5).fit(cl.VectorAssembler(inputCols=columns, outputCol="features").transform(t)).summary.trainingCost
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").cast("int").alias("clusters"),
+                    F.bool_and(F.abs(F.col("distance") - least) < 1e-6).alias("nearest"), (F.sum("distance") <= 1.15 * full).alias("near_full_cost"))
+
+
+@query("Q26_ward_spread", f"""
+select cast(count(*) as bigint) as n, {r('(var_pop(l_quantity) + var_pop(l_discount * 500) + var_pop(l_tax * 500)) * count(*)', 1)} as spread, true as rising from lineitem""")
+def ward_spread(spark, d):
+    """Sums of squares inside the leaves and the costs of all merges add up to the table's spread."""
+    t = table(spark, d, "lineitem").select("l_quantity", (F.col("l_discount") * 500).alias("discount"), (F.col("l_tax") * 500).alias("tax"))
+    tree = wd.ward_tree(t, ["l_quantity", "discount", "tax"])
+    held = tree.leaves.agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"))
+    steps = tree.merges.select("step", "cost").withColumn("step", F.col("step") + 1).withColumnRenamed("cost", "before")
+    made = tree.merges.agg(F.sum("cost").alias("cost"))
+    rising = tree.merges.join(steps, "step").agg(F.bool_and(F.col("cost") >= F.col("before")).alias("rising"))
+    return held.crossJoin(made).crossJoin(rising).select("n", rounded(F.col("ss") + F.col("cost"), 1).alias("spread"), "rising")
+
+
+NATIONS = """(select c_nationkey as id, avg(o_totalprice) / 1000 as x, count(*) * 1.0 / count(distinct c_custkey) as y, avg(c_acctbal) / 100 as z
+  from orders join customer on o_custkey = c_custkey group by c_nationkey)"""
+
+
+@query("Q26_ward_nations", f"""
+with recursive p as materialized (select *, count(*) over () as m from {NATIONS}),
+w as (select 0 as step, m, id, id as label, x, y, z from p
+  union all
+  select step + 1, m, id, case when label = b then a else label end, x, y, z from w,
+    (with g as (select label, count(*) as n, avg(x) as x, avg(y) as y, avg(z) as z from w group by label)
+     select f.label as a, h.label as b from g f join g h on f.label < h.label
+     order by f.n * h.n * 1.0 / (f.n + h.n) * (pow(f.x - h.x, 2) + pow(f.y - h.y, 2) + pow(f.z - h.z, 2)) limit 1)
+  where step < m - 4)
+select cast(id as bigint) as nation, cast(label as bigint) as smallest from w where step = (select max(step) from w)""")
+def ward_nations(spark, d):
+    """Four groups of nations by their customers' orders, named by their smallest nation."""
+    t = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(
+        (F.avg("o_totalprice") / 1000).alias("x"), (F.count(F.lit(1)) / F.count_distinct("c_custkey")).alias("y"), (F.avg("c_acctbal") / 100).alias("z"))
+    out = wd.ward(t, ["x", "y", "z"], 4)
+    named = out.groupBy("cluster").agg(F.min("c_nationkey").alias("smallest"))
+    return out.join(named, "cluster").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("smallest").cast("long").alias("smallest"))
+
+
 SCALED = """(select s_suppkey as id, (s_acctbal - avg(s_acctbal) over ()) / stddev_pop(s_acctbal) over () as a,
   (s_nationkey - avg(s_nationkey) over ()) / stddev_pop(s_nationkey) over () as b from supplier)"""
 
