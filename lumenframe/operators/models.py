@@ -28,6 +28,7 @@ from lumenframe.operators.ordered import running, with_row_number
 from lumenframe.operators.profile import automl_types, value_facts
 from lumenframe.operators.quality import target_leakage
 from lumenframe.operators.ranks import lookup
+from lumenframe.operators.svr import LinearSVR
 from lumenframe.session import ensure_checkpoint_dir
 
 LABEL, FEATURES, PARTS = "label", "features", 1_000_000
@@ -133,6 +134,7 @@ MODELS: dict[str, tuple[tuple[str, ...], Callable[[str, int], Estimator]]] = {
     "logistic": (("binary", "multiclass"), lambda t, n: LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=200)),
     "naive_bayes": (("binary", "multiclass"), lambda t, n: NaiveBayes(modelType="gaussian")),
     "linear_svc": (("binary", "multiclass"), lambda t, n: _svc(t)),
+    "linear_svr": (("regression",), lambda t, n: LinearSVR()),
 }
 # Boosting libraries outside Spark, and histogram boosting, are served by Spark's boosted trees.
 ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting",

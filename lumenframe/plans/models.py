@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import baskets as bk, clusters as cl, isolation as iso, minibatch as mb, models as md, neighbours as nb, ward as wd
 from lumenframe.operators.dbscan import dbscan
+from lumenframe.operators.svr import LinearSVR
 from lumenframe.plans.registry import query, r, rounded, show, table
 
 SMALL = {"numTrees": 10, "maxIter": 10}
@@ -43,9 +44,9 @@ def trained(spark, d, target, model, features=("p_brand", "p_type", "p_size")):
 
 @query("Q3_Q6_regression_board")
 def regression_board(spark, d):
-    names = ["linear", "ridge", "lasso", "elastic_net", "decision_tree", "random_forest", "xgboost"]
+    names = ["linear", "ridge", "lasso", "elastic_net", "decision_tree", "random_forest", "xgboost", "linear_svr"]
     t = parts(spark, d).withColumn("y", F.col("p_size") * 10 + F.length("p_brand") + F.col("p_partkey") % 7)
-    board, _ = md.leaderboard(t, "y", ["p_partkey"], names, ["p_brand", "p_type", "p_size"], settings={n: SMALL for n in names})
+    board, _ = md.leaderboard(t, "y", ["p_partkey"], names, ["p_brand", "p_type", "p_size"], settings={n: SMALL for n in names if n != "linear_svr"})
     return board.drop("seconds")
 
 
@@ -57,6 +58,28 @@ def classification_board(spark, d):
     return board.drop("seconds")
 
 
+@query("Q10_linear_svr", """
+select cast(count(*) as bigint) as n, 0.0::double as quantity_slope, 0.0::double as discount_slope, 0.0::double as intercept_slope, true as below_ridge from lineitem""")
+def linear_svr(spark, d):
+    """The objective's derivatives at the solution, taken anew from all rows; each per row, and below plain ridge regression's objective."""
+    t = table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("label"), "l_quantity", (F.col("l_discount") * 100).alias("discount"))
+    data = cl.VectorAssembler(inputCols=["l_quantity", "discount"], outputCol="features").transform(t)
+    model = LinearSVR(cost=0.5, epsilon=2.0).fit(data)
+    (a, b), e = (float(v) for v in model.coefficients), 2.0
+    q, s = F.col("l_quantity"), F.col("discount")
+
+    def over(x, y, z):
+        residual = F.col("label") - (q * x + s * y + z)
+        return F.signum(residual) * F.greatest(F.abs(residual) - e, F.lit(0.0))
+
+    out, n = over(a, b, float(model.intercept)), F.count(F.lit(1))
+    ridge = md.LinearRegression(regParam=1.0 / t.count(), standardization=False).fit(data)
+    other = over(*(float(v) for v in ridge.coefficients), float(ridge.intercept))
+    sums = t.agg(n.alias("n"), ((F.lit(a) - F.sum(out * q)) / n).alias("quantity_slope"), ((F.lit(b) - F.sum(out * s)) / n).alias("discount_slope"),
+                 (F.sum(out) / n).alias("intercept_slope"), (F.sum(out * out) < F.sum(other * other)).alias("below_ridge"))
+    return sums.select("n", *[F.abs(F.round(c, 6)).alias(c) for c in sums.columns[1:4]], "below_ridge")
+
+
 @query("Q8_multiclass_scores")
 def multiclass(spark, d):
     run = trained(spark, d, "tier", "logistic")
