@@ -141,18 +141,31 @@ ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "cat
            "hist_gradient_boosting": "gradient_boosting"}
 
 
-def estimator(name: str, task: str, rows: int, settings: Mapping[str, object] | None = None) -> Estimator:
+def estimator(name: str, task: str, rows: int, settings: Mapping[str, object] | None = None, deviation: float = 1.0) -> Estimator:
+    """The learner by name; ``settings`` are Spark's own parameters.
+
+    Spark's linear regression divides its squared penalty by the deviation of the labels, its absolute one not. The
+    strengths above are multiplied by ``deviation`` accordingly, so that they hold whatever the labels' scale.
+    """
     name = ALIASES.get(name, name)
     if name not in MODELS or task not in MODELS[name][0]:
         raise ValueError(f"{name} is not offered for {task}")
     model = MODELS[name][1](task, max(rows, 1))
     inner = model.getClassifier() if isinstance(model, OneVsRest) else model
+    if isinstance(model, LinearRegression) and model.getRegParam() > 0:
+        absolute, squared = model.getRegParam() * model.getElasticNetParam(), model.getRegParam() * (1 - model.getElasticNetParam()) * deviation
+        model.setRegParam(absolute + squared)
+        model.setElasticNetParam(absolute / (absolute + squared))
     for key, value in (settings or {}).items():
         if inner.hasParam(key):
             inner._set(**{key: value})
     return model
 
 
+def _deviation(rows: DataFrame, task: str) -> float:
+    return (rows.agg(F.stddev_pop(LABEL)).first()[0] or 1.0) if task == "regression" else 1.0
+
+
 class Trained(NamedTuple):
     name: str
     task: str
@@ -193,7 +206,8 @@ def train(df: DataFrame, target: str, model: str, key: Sequence[str], features:
     fit_rows, held = parts or split(labelled, key, test)
     start = time.time()
     rows = fit_rows.count()
-    fitted = Pipeline(stages=[*preparation(fit_rows, features), estimator(model, task, rows, settings)]).fit(fit_rows)
+    learner = estimator(model, task, rows, settings, _deviation(fit_rows, task))
+    fitted = Pipeline(stages=[*preparation(fit_rows, features), learner]).fit(fit_rows)
     seconds = time.time() - start
     predictions = fitted.transform(held)
     if task == "regression":
@@ -390,7 +404,7 @@ def tune(df: DataFrame, target: str, model: str, key: Sequence[str], grid: Mappi
     features = list(features) if features is not None else [c for c in df.columns if c != target and c not in key]
     known = typed(df.where(~is_missing(df, target)), features)
     rows, _ = split(with_label(known, target, task, [] if task == "regression" else class_names(known, target)), key)
-    learner = estimator(model, task, rows.count())
+    learner = estimator(model, task, rows.count(), deviation=_deviation(rows, task))
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
