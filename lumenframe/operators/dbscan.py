@@ -1,5 +1,7 @@
 """Density clustering on a grid, without forming all pairs of close points.
 
+Tables with more columns than a grid can serve go to ``balls``.
+
 Cells have the side eps / sqrt(d), so two points of a cell are always neighbours: a cell
 with ``min_samples`` points needs no distance at all. Points of thinner cells (fewer than
 ``min_samples``) are sent to the cells around them, where distances are counted in chunks of
@@ -18,13 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.functions.columns import col, number
+from lumenframe.operators.balls import ball_labels
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.neighbours import CHUNK_ROWS, _distances, _matrix
 from lumenframe.operators.ordered import with_row_number
 from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
 
-MAX_DIMENSIONS = 4
+# With more columns a cell has too many cells around it; balls take over.
+GRID_COLUMNS = 4
 
 
 def _cell(x: Column, side: float, d: int) -> Column:
@@ -40,21 +44,36 @@ def _around(side: float, eps: float, d: int) -> list[tuple[int, ...]]:
 
 def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samples: int = 5,
            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(key, cluster): clusters numbered from 0 by their smallest key, -1 for noise.
+    """(key, cluster): clusters numbered from 0 by their smallest core key, -1 for noise.
 
     Core points have ``min_samples`` points within eps, themselves included. A border point
-    takes the cluster of its core neighbour with the smallest key. At most four columns.
+    takes the cluster of its core neighbour with the smallest key. Up to four columns use a
+    grid, more use balls. Rows with gaps are left out.
     """
-    d = len(columns)
-    if not 1 <= d <= MAX_DIMENSIONS:
-        raise ValueError(f"one to {MAX_DIMENSIONS} columns; reduce more with principal components")
+    if not columns:
+        raise ValueError("at least one column is needed")
     ensure_checkpoint_dir(df.sparkSession)
-    side = eps / math.sqrt(d) * (1 - 1e-12)
     rows = df.dropna(subset=list(columns)).select(
         col(key).alias("id"), F.array(*[number(df, c) + F.lit(0.0) for c in columns]).alias("x"))
     # Copies of a point share its label: one row per place, with its weight and smallest key.
-    places = rows.groupBy("x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")).withColumn(
-        "cell", _cell(F.col("x"), side, d)).checkpoint()
+    places = rows.groupBy("x").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")).checkpoint()
+    if len(columns) <= GRID_COLUMNS:
+        labels = _grid_labels(places, len(columns), eps, min_samples, chunk_rows)
+    else:
+        labels = ball_labels(places, eps, min_samples, chunk_rows)
+    # Clusters are few compared with points, but still numbered without one task: rank over the distinct labels.
+    numbers = with_row_number(labels.select("label").distinct(), "label", name="__n").select(
+        F.col("label").alias("__l"), (F.col("__n") - 1).cast("int").alias("cluster"))
+    numbered = labels.join(numbers, F.col("label") == F.col("__l")).select("id", "cluster")
+    by_place = places.select("id", "x", F.col("w").alias("__n")).join(numbered, "id", "left")
+    return lookup(rows, by_place.select("x", "cluster", "__n"), ["x"], ["cluster"], "__n").select(
+        F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _grid_labels(places: DataFrame, d: int, eps: float, min_samples: int, chunk_rows: int) -> DataFrame:
+    """(id, label): the smallest core id of a point's cluster; noise has no row."""
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    places = places.withColumn("cell", _cell(F.col("x"), side, d))
     cells = places.groupBy("cell").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("cn"))
     sized = places.join(cells, "cell")
     dense = F.col("cw") >= min_samples
@@ -74,14 +93,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_samp
     held = core.join(core.groupBy("cell").agg(F.count(F.lit(1)).alias("cn")), "cell")
     near_core = _meet(border, held, side, eps, d, chunk_rows, "first").groupBy("id").agg(F.min("value").alias("core"))
     border_label = near_core.join(core_label.withColumnRenamed("id", "core"), "core").select("id", "label")
-    labels = core_label.union(border_label)
-    # Clusters are few compared with points, but still numbered without one task: rank over the distinct labels.
-    numbers = with_row_number(labels.select("label").distinct(), "label", name="__n").select(
-        F.col("label").alias("__l"), (F.col("__n") - 1).cast("int").alias("cluster"))
-    numbered = labels.join(numbers, F.col("label") == F.col("__l")).select("id", "cluster")
-    by_place = places.select("id", "x", F.col("w").alias("__n")).join(numbered, "id", "left")
-    return lookup(rows, by_place.select("x", "cluster", "__n"), ["x"], ["cluster"], "__n").select(
-        F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return core_label.union(border_label)
 
 
 def _fresh(*names: str) -> list[Column]:

@@ -280,6 +280,24 @@ def density(spark, d):
     return dbscan(points, "s_suppkey", ["a", "b"], 0.35, 4)
 
 
+EIGHT = " + ".join(f"(x.v[{i}] - y.v[{i}]) * (x.v[{i}] - y.v[{i}])" for i in range(1, 9))
+
+
+@query("Q27_dbscan_eight_columns", f"""
+with recursive p as materialized (select vec_id as id, embedding::double[] as v from embeddings where len(embedding) >= 8 and list_aggregate(list_transform(embedding[1:8], lambda e: cast(e is null or isnan(e) as int)), 'sum') = 0),
+near as materialized (select x.id as i, y.id as j from p x, p y where sqrt({EIGHT}) <= 0.22), core as materialized (select i from near group by 1 having count(*) >= 4),
+reach as (select i, i as j from core union select r.i, n.j from reach r join near n on n.i = r.j where n.j in (from core)),
+label as (select i, min(j) as label from reach group by 1),
+num as (select label, row_number() over (order by label) - 1 as cluster from (select distinct label from label)),
+border as (select n.i as id, min(n.j) as j from near n where n.j in (from core) and n.i not in (from core) group by 1),
+own as (select i as id, label from label union all select b.id, l.label from border b join label l on l.i = b.j)
+select p.id as vec_id, cast(coalesce(cluster, -1) as int) as cluster from p left join own using (id) left join num using (label)""")
+def density_eight(spark, d):
+    names = [f"e{i}" for i in range(8)]
+    points = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return dbscan(points, "vec_id", names, 0.22, 4)
+
+
 @query("Q28_elbow")
 def elbow(spark, d):
     return cl.elbow(table(spark, d, "part"), ["p_size", "p_retailprice"], 4)

@@ -94,11 +94,6 @@ def test_dbscan(spark, cloud, eps, least):
     assert (got == labels).all()
 
 
-def test_dbscan_refuses_many_columns(spark):
-    with pytest.raises(ValueError):
-        dbscan(spark.range(3), "id", ["id"] * 5, 1.0)
-
-
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(40).select(F.col("id").alias("node"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 35), (35, 33)], "a long, b long")
