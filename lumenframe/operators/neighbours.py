@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lumenframe.functions.columns import col, is_missing, is_numeric, number, numeric_columns, require
+from lumenframe.functions.columns import col, is_numeric, number, numeric_columns, require
 from lumenframe.operators.quantiles import column_quantiles
 from lumenframe.operators.ranks import lookup
 from lumenframe.session import ensure_checkpoint_dir
@@ -26,6 +26,9 @@ PIVOTS = (16, 4_096)
 CHUNK_ROWS = 20_000
 # Numbers held at once by a task that compares rows with pivots.
 HELD = 4_000_000
+# Gap patterns with cells of their own in an imputation, and visits that a task hands on at once.
+MAX_PATTERNS = 1_024
+VISITS = 50_000
 SLACK = 1e-9
 
 
@@ -180,46 +183,144 @@ def knn_predict(train: DataFrame, queries: DataFrame, key: str, columns: Sequenc
     return queries.join(answer, col(key) == F.col("query"), "left").drop("query")
 
 
-def knn_impute(df: DataFrame, key: str, columns: Sequence[str] | None = None, k: int = 5, **join) -> DataFrame:
+def _nan_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances over the columns known in both rows, scaled up for the others; infinite where none is shared."""
+    out, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        both = ~np.isnan(gap)
+        out += np.where(both, gap, 0.0) ** 2
+        shared += both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, np.sqrt(out) * np.sqrt(a.shape[1] / shared), np.inf)
+
+
+def _box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest such distance of rows to the points of boxes (NaN where a box does not know a column)."""
+    near, far, shared = (np.zeros((len(q), len(low))) for _ in range(3))
+    for j in range(q.shape[1]):
+        below, above = low[None, :, j] - q[:, j, None], q[:, j, None] - high[None, :, j]
+        both = ~np.isnan(below)
+        near += np.where(both, np.maximum(np.maximum(below, above), 0.0), 0.0) ** 2
+        far += np.where(both, np.maximum(-below, -above), 0.0) ** 2
+        shared += both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        factor = np.where(shared > 0, np.sqrt(q.shape[1] / shared), np.inf)
+        return np.where(shared > 0, np.sqrt(near) * factor, np.inf), np.where(shared > 0, np.sqrt(far) * factor, np.inf)
+
+
+def _gap_join(rows: DataFrame, d: int, k: int, pivots: int | None, chunk_rows: int) -> DataFrame:
+    """(x, column, neighbour, distance, value): the k nearest rows that know the column, for every gap of the different x.
+
+    ``rows`` has id and x, an array of d doubles with nulls for gaps. One join serves all gap patterns: the pattern is
+    part of a row's cell, a cell keeps the box of its values, and box bounds hold for whatever columns are shared.
+    Patterns beyond the MAX_PATTERNS most frequent share cells without bounds, which every query visits.
+    """
+    first = W.partitionBy("x").orderBy("id")
+    places = rows.withColumn("__row", F.row_number().over(first)).where(F.col("__row") <= k)
+    known = F.concat_ws("", F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1")))
+    folded = places.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("known", known).checkpoint()
+    common = folded.groupBy("known").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "known").limit(MAX_PATTERNS).collect()
+    total = folded.count()
+    pivots = pivots or int(min(PIVOTS[1], max(PIVOTS[0], total ** 0.5)))
+    centres = _pivots(folded.select("x"), pivots).reshape(-1, d)
+    # Each pattern uses a share of the pivots, so there are at most pivots + MAX_PATTERNS + 1 cells.
+    share = {r["known"]: max(1, pivots * r["n"] // total) for r in common}
+    prefix = {p: i for i, p in enumerate(share)}
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _blocks(batches, len(centres)):
+            if len(batch):
+                away = _nan_distances(_matrix(batch["x"]), centres)
+                allowed = np.array([share.get(p, 1) for p in batch["known"]])
+                away[np.arange(len(centres))[None, :] >= allowed[:, None]] = np.inf
+                tag = np.array([prefix.get(p, len(prefix)) for p in batch["known"]])
+                yield batch.assign(cell=(tag * len(centres) + away.argmin(axis=1)).astype("int64"))
+
+    kind = rows.schema["id"].dataType.simpleString()
+    placed = folded.mapInPandas(assign, f"x array<double>, ids array<{kind}>, known string, cell long").checkpoint()
+    facts = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m"),
+        *[f(F.col("x")[j]).alias(f"{f.__name__}{j}") for f in (F.min, F.max) for j in range(d)]).orderBy("cell").collect()
+    cells, held = np.array([r["cell"] for r in facts], dtype="int64"), np.array([r["m"] for r in facts])
+    low, high = (np.array([[r[f"{f}{j}"] for j in range(d)] for r in facts], dtype=float).reshape(-1, d) for f in ("min", "max"))
+    mixed = cells >= len(prefix) * len(centres)
+    chunks = {r["cell"]: max(1, -(-r["n"] // chunk_rows)) for r in facts}
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _blocks(batches, 4 * len(cells)):
+            if not len(batch):
+                continue
+            x = _matrix(batch["x"])
+            near, far = _box_bounds(x, low, high)
+            near[:, mixed], far[:, mixed] = 0.0, np.inf
+            for c in range(d):
+                asks, gives = np.flatnonzero(np.isnan(x[:, c])), np.flatnonzero(mixed | ~np.isnan(low[:, c]))
+                if not len(asks) or not len(gives):
+                    continue
+                reach = far[np.ix_(asks, gives)]
+                order = np.argsort(reach, axis=1, kind="stable")
+                reached = np.cumsum(held[gives][order], axis=1) >= k
+                at = reached.argmax(axis=1)
+                bound = np.where(reached.any(axis=1), np.take_along_axis(reach, order, 1)[np.arange(len(asks)), at], np.inf)
+                least = near[np.ix_(asks, gives)]
+                rows_, hits = np.nonzero((least <= bound[:, None] * (1 + SLACK) + SLACK) & np.isfinite(least))
+                for s in range(0, len(rows_), VISITS):
+                    part = slice(s, s + VISITS)
+                    yield pd.DataFrame({"x": batch["x"].to_numpy()[asks[rows_[part]]], "column": np.int32(c), "cell": cells[gives[hits[part]]]})
+
+    asked = folded.where(F.col("known").contains("0") & F.col("known").contains("1")).select("x")
+    visits = asked.mapInPandas(visit, "x array<double>, column int, cell long").checkpoint()
+    load = {r["cell"]: r["q"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("q")).collect()}
+    count_of, block_of = (F.create_map(*[F.lit(int(v)) if i else F.lit(int(v)).cast("long") for p in m.items() for i, v in enumerate(p)])
+                          for m in (chunks, {int(c): max(1, -(-load.get(int(c), 0) // chunk_rows)) for c in cells}))
+    left = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), count_of[F.col("cell")] - 1))).withColumn(
+        "block", F.pmod(F.xxhash64("x", "column"), block_of[F.col("cell")]).cast("int"))
+    right = placed.withColumn("chunk", F.pmod(F.xxhash64("x", F.lit(1)), count_of[F.col("cell")]).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), block_of[F.col("cell")] - 1))).select("cell", "chunk", "block", "x", "ids")
+
+    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        givers = _matrix(p["x"]) if len(p) else None
+        for c, asks in q.groupby("column", sort=True) if len(p) else ():
+            knows = np.flatnonzero(~np.isnan(givers[:, c]))
+            kept, xs = min(k, len(knows)), _matrix(asks["x"])
+            for s in range(0, len(xs) if kept else 0, 128):
+                dist = _nan_distances(xs[s:s + 128], givers[knows])
+                limit = np.partition(dist, kept - 1, axis=1)[:, kept - 1]
+                rows_, hits = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+                out.append(pd.DataFrame({"x": asks["x"].to_numpy()[s + rows_], "column": c, "ids": p["ids"].to_numpy()[knows[hits]],
+                                         "distance": dist[rows_, hits], "value": givers[knows[hits], c]}))
+        return pd.concat(out) if out else pd.DataFrame()
+
+    found = left.groupBy("cell", "chunk", "block").cogroup(right.groupBy("cell", "chunk", "block")).applyInPandas(
+        nearest, f"x array<double>, column int, ids array<{kind}>, distance double, value double")
+    rank = F.row_number().over(W.partitionBy("x", "column").orderBy("distance", "neighbour"))
+    return found.withColumn("neighbour", F.explode("ids")).withColumn("__row", rank).where(F.col("__row") <= k).select(
+        "x", "column", "neighbour", "distance", "value")
+
+
+def knn_impute(df: DataFrame, key: str, columns: Sequence[str] | None = None, k: int = 5, pivots: int | None = None,
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Gaps in the numeric columns filled with the mean of the k nearest rows that know the value.
 
-    Distances use the columns both rows know, scaled up for the ones they do not. Rows are
-    grouped by which columns they know; each pair of groups is one neighbour join on the
-    shared columns. Where no row shares a column, the column median is taken.
+    Distances use the columns both rows know, scaled up for the ones they do not; ties go to smaller
+    keys. Where no row shares a column, the column median is taken.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     columns = [c for c in (columns or numeric_columns(df)) if c != key]
-    known = F.concat(*[F.when(is_missing(df, c), "0").otherwise("1") for c in columns])
-    rows = df.select(col(key).alias("id"), *[number(df, c).alias(c) for c in columns], known.alias("known"))
-    patterns = [r["known"] for r in rows.select("known").distinct().collect()]
-    medians = column_quantiles(df, columns, [0.5])
-    fills = None
-    for i, c in enumerate(columns):
-        near = None
-        for asks in [p for p in patterns if p[i] == "0"]:
-            for gives in [p for p in patterns if p[i] == "1"]:
-                shared = [j for j in range(len(columns)) if asks[j] == gives[j] == "1"]
-                if not shared:
-                    continue
-                factor = (len(columns) / len(shared)) ** 0.5
-                x = F.array(*[col(columns[j]) + F.lit(0.0) for j in shared]).alias("x")
-                one = knn_join(rows.where(F.col("known") == asks).select("id", x), rows.where(F.col("known") == gives).select("id", x), k, **join)
-                # Scaled after the join: scaled coordinates would break exact ties by rounding.
-                one = one.withColumn("distance", F.col("distance") * factor)
-                near = one if near is None else near.unionByName(one)
-        if near is None:
-            continue
-        best = near.withColumn("__row", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).where(
-            F.col("__row") <= k)
-        value = lookup(best, rows.select(F.col("id").alias("neighbour"), col(c).alias("__v")), ["neighbour"], ["__v"]).groupBy("query").agg(
-            F.avg("__v").alias("v")).select("query", F.lit(c).alias("column"), "v")
-        fills = value if fills is None else fills.unionByName(value)
-    if fills is None:
+    if not columns or df.isEmpty():
         return df
-    wide = fills.groupBy("query").pivot("column", columns).agg(F.first("v"))
-    wide = wide.select("query", *[col(c).alias(f"__v_{c}") for c in columns])
-    out = df.join(wide, col(key) == F.col("query"), "left")
-    return out.select(*[F.coalesce(number(df, c), F.col(f"`__v_{c}`"), F.lit(medians[c][0])).alias(c) if c in columns else col(c)
-                        for c in df.columns])
+    x = F.array(*[number(df, c) + F.lit(0.0) for c in columns])
+    medians = column_quantiles(df, columns, [0.5])
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(key).alias("id"), x.alias("x"))
+    found = _gap_join(rows.select("id", "x"), len(columns), k, pivots, chunk_rows)
+    fills = found.groupBy("x", "column").agg(F.avg("value").alias("v")).groupBy("x").agg(
+        F.map_from_entries(F.collect_list(F.struct("column", "v"))).alias("fill"))
+    # Packed, so that untouched columns come back as they were.
+    out = lookup(rows.select("row", "x"), fills, ["x"], ["fill"])
+    filled = {c: F.coalesce(number(df, c), F.try_element_at("__fill", F.lit(i)), F.lit(medians[c][0])) for i, c in enumerate(columns)}
+    return out.select("row.*", F.col("fill").alias("__fill")).select(*[filled.get(c, col(c)).alias(c) for c in df.columns])
 
 
 def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str], neighbours: int = 20, **join) -> DataFrame:

@@ -418,6 +418,28 @@ def knn_impute(spark, d):
     return nb.knn_impute(t, "c_custkey").select("c_custkey", rounded("bal", 3).alias("bal"))
 
 
+GAPS = "pow(a.nation - b.nation, 2)", "pow(a.x - b.x, 2)", "pow(a.bal - b.bal, 2)"
+SHARED = "(cast(a.nation - b.nation is not null as int) + cast(a.x - b.x is not null as int) + cast(a.bal - b.bal is not null as int))"
+
+
+def gap_fill(c: str) -> str:
+    return f"""n_{c} as (select a.c_custkey, b.{c} as v, row_number() over (partition by a.c_custkey order by
+  sqrt(coalesce({GAPS[0]}, 0) + coalesce({GAPS[1]}, 0) + coalesce({GAPS[2]}, 0)) * sqrt(3.0::double / {SHARED}), b.c_custkey) as k
+  from t a, t b where a.{c} is null and b.{c} is not null and {SHARED} > 0), f_{c} as (select c_custkey, avg(v) as v from n_{c} where k <= 4 group by 1)"""
+
+
+@query("J9_knn_impute_many_gaps", f"""
+with t as (select c_custkey, case when c_custkey % 11 <> 0 then c_nationkey * 400.0::double end as nation, case when c_custkey % 17 <> 0 then cast(c_custkey % 97 as double) end as x,
+  case when c_custkey % 5 <> 0 then c_acctbal end as bal from customer), {gap_fill("nation")}, {gap_fill("x")}, {gap_fill("bal")}
+select t.c_custkey, """ + ", ".join(r(f"coalesce(t.{c}, f_{c}.v, (select quantile_cont({c}, 0.5) from t))", 3) + f" as {c}" for c in ("nation", "x", "bal")) + """
+from t left join f_nation using (c_custkey) left join f_x using (c_custkey) left join f_bal using (c_custkey)""")
+def knn_impute_many_gaps(spark, d):
+    k = F.col("c_custkey")
+    t = table(spark, d, "customer").select("c_custkey", F.when(k % 11 != 0, F.col("c_nationkey") * 400.0).alias("nation"),
+                                           F.when(k % 17 != 0, (k % 97).cast("double")).alias("x"), F.when(k % 5 != 0, F.col("c_acctbal")).alias("bal"))
+    return show(nb.knn_impute(t, "c_custkey", k=4), 3)
+
+
 @query("J15_local_outlier_factor", f"""
 with n as materialized (select a.c_custkey as i, b.c_custkey as j, sqrt(pow(a.c_acctbal - b.c_acctbal, 2) + pow(a.c_nationkey * 100 - b.c_nationkey * 100, 2)) as dist,
   row_number() over (partition by a.c_custkey order by pow(a.c_acctbal - b.c_acctbal, 2) + pow(a.c_nationkey * 100 - b.c_nationkey * 100, 2), b.c_custkey) as k

@@ -64,6 +64,33 @@ def test_knn_impute_matches_nan_euclidean(spark, cloud):
     np.testing.assert_allclose(got[["a", "b", "c"]], expected)
 
 
+def test_knn_impute_shares_cells_between_rare_patterns(spark, cloud, monkeypatch):
+    """Repeated rows, all-gap rows, untouched columns and patterns beyond the ones with cells of their own."""
+    rng = np.random.default_rng(8)
+    p = cloud.assign(c=rng.normal(size=len(cloud)), e=rng.normal(size=len(cloud)).round(1))
+    for c in "abce":
+        p.loc[rng.random(len(p)) < .2, c] = np.nan
+    p.loc[5, list("abce")] = np.nan
+    df = spark.createDataFrame(p).withColumn("row", F.when(F.col("id") % 3 == 0, float("nan")).otherwise(1.0))
+    fill = lambda **k: knn_impute(df, "id", list("abce"), k=3, chunk_rows=50, **k).orderBy("id")
+    whole = fill(pivots=20)
+    assert whole.where(F.isnan("row")).count() == df.where("id % 3 = 0").count() and whole.columns == df.columns
+    monkeypatch.setattr("lumenframe.operators.neighbours.MAX_PATTERNS", 2)
+    got, shared = whole.toPandas(), fill(pivots=3).toPandas()
+    v = p[list("abce")].to_numpy()
+    known, z = ~np.isnan(v), np.nan_to_num(v)
+    both = known[:, None] & known[None]
+    count = both.sum(2)
+    dist = np.sqrt((((z[:, None] - z[None]) ** 2) * both).sum(2)) * np.sqrt(4 / np.maximum(count, 1))
+    want = v.copy()
+    for i, j in zip(*np.nonzero(~known)):
+        givers = np.flatnonzero(known[:, j] & (count[i] > 0))
+        want[i, j] = v[givers[np.lexsort((givers, dist[i][givers]))[:3]], j].mean() if len(givers) else np.nanmedian(v[:, j])
+    np.testing.assert_allclose(got[list("abce")], want)
+    np.testing.assert_allclose(shared[list("abce")], want)
+    assert knn_impute(df.limit(0), "id").count() == 0
+
+
 def test_knn_predict_classes(spark):
     train = spark.createDataFrame([(i, float(i), "low" if i < 10 else "high") for i in range(20)], "id long, v double, y string")
     asked = spark.createDataFrame([(100, 2.2), (101, 17.0), (102, None)], "id long, v double")
