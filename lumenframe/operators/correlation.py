@@ -128,12 +128,27 @@ def _ordered_pairs(first: np.ndarray, second: np.ndarray, weight: np.ndarray,
     return total
 
 
+def _across(cells: DataFrame, ranges: int) -> DataFrame:
+    """Weighted pairs of cells (bx, by, w) that rise on both axes, as a merge sort counts them.
+
+    Two ranges of x part at one bit: above it they are alike, there the lower has 0 and the higher 1.
+    So each level is a merge of halves: along y, the weight of lower halves before meets that of the
+    higher ones. A cell has one row per bit, added up before the shuffle; a window has a row per range of y.
+    """
+    bits = cells.select("bx", "by", "w", F.explode(F.sequence(F.lit(0), F.lit(max(ranges - 1, 1).bit_length() - 1))).alias("level"))
+    high = F.expr("shiftright(bx, level) & 1") == 1
+    halves = bits.groupBy("level", F.expr("shiftright(bx, level + 1)").alias("prefix"), "by").agg(
+        F.sum(F.when(~high, F.col("w"))).alias("lower"), F.sum(F.when(high, F.col("w"))).alias("higher"))
+    before = F.sum("lower").over(W.partitionBy("level", "prefix").orderBy("by").rowsBetween(W.unboundedPreceding, -1))
+    return halves.withColumn("before", before).agg(F.sum(F.col("higher") * F.col("before")))
+
+
 def kendall(df: DataFrame, x: str, y: str, rows_per_range: int = 200_000) -> DataFrame:
     """Kendall tau-b without forming pairs of rows.
 
     Distinct (x, y) pairs, with their counts, are placed in ranges of both sort orders
-    (x, y) and (y, x). Pairs of points in different ranges on both axes are counted on the
-    grid of ranges; the rest meet in one range of either axis and are counted there.
+    (x, y) and (y, x). Pairs of points in different ranges on both axes are counted from the
+    weights of occupied cells; the rest meet in one range of either axis and are counted there.
     """
     pairs = _folded(df, x, y)
     ranges = max(2, -(-pairs.count() // rows_per_range))
@@ -152,15 +167,7 @@ def kendall(df: DataFrame, x: str, y: str, rows_per_range: int = 200_000) -> Dat
 
     same_x = placed.groupBy("bx").applyInPandas(in_range(None), "q double")
     same_y = placed.groupBy("by").applyInPandas(in_range("bx"), "q double")
-    cells = placed.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w"))
-    side = df.sparkSession.range(ranges)
-    grid = (side.select(F.col("id").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("by"))
-            .join(cells, ["bx", "by"], "left").fillna(0.0, ["w"]))
-    before = grid.withColumn("col_sum", F.coalesce(F.sum("w").over(
-        W.partitionBy("by").orderBy("bx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    lower = before.withColumn("lower", F.coalesce(F.sum("col_sum").over(
-        W.partitionBy("bx").orderBy("by").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    across = lower.agg(F.sum(F.col("w") * F.col("lower"))).scalar()
+    across = _across(placed.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w")), ranges).scalar()
     q = same_x.agg(F.coalesce(F.sum("q"), F.lit(0.0))).scalar() + same_y.agg(
         F.coalesce(F.sum("q"), F.lit(0.0))).scalar() + F.coalesce(across, F.lit(0.0))
 

@@ -1,5 +1,6 @@
 """Distribution functions, tests and regression against closed forms and a reference library in the JVM."""
 
+import itertools
 import math
 
 import numpy as np
@@ -41,6 +42,22 @@ def test_kendall_against_all_pairs(spark):
     assert co.spearman(spark.createDataFrame(p), "x", "y").first().coefficient == pytest.approx(p.x.rank().corr(p.y.rank()))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 3, 7, 16])
+def test_rising_cells_against_all_pairs(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    cells = [(int(x), int(y), float(rng.integers(1, 9))) for x, y in itertools.product(range(ranges), repeat=2) if rng.random() < .6]
+    want = sum(a[2] * b[2] for a in cells for b in cells if a[0] < b[0] and a[1] < b[1])
+    got = co._across(spark.createDataFrame(cells, "bx int, by int, w double"), ranges).first()[0]
+    assert (got or 0.0) == want
+
+
+def test_kendall_of_a_line_has_few_cells(spark):
+    """Rising values occupy a cell per range; all pairs agree."""
+    line = spark.range(3_000).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    row = co.kendall(line, "x", "y", rows_per_range=100).first()
+    assert (row.n, row.coefficient) == (3_000, 1.0)
+
+
 def test_normality_and_moments(spark):
     rng = np.random.default_rng(6)
     p = pd.DataFrame({"n": rng.normal(5, 2, 800), "e": rng.exponential(1, 800)})
