@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
@@ -109,8 +109,8 @@ def typed(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _boosted(task: str) -> Estimator:
     if task == "regression":
-        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=42)
-    tree = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=42)
+        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=6, seed=42)
+    tree = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=6, seed=42)
     return tree if task == "binary" else OneVsRest(classifier=tree)
 
 
@@ -129,7 +129,7 @@ MODELS: dict[str, tuple[tuple[str, ...], Callable[[str, int], Estimator]]] = {
     "decision_tree": (("regression", "binary", "multiclass"), lambda t, n: (
         DecisionTreeRegressor(maxDepth=6, seed=42) if t == "regression" else DecisionTreeClassifier(maxDepth=6, seed=42))),
     "random_forest": (("regression", "binary", "multiclass"), lambda t, n: (
-        RandomForestRegressor(numTrees=100, seed=42) if t == "regression" else RandomForestClassifier(numTrees=100, seed=42))),
+        RandomForestRegressor(numTrees=100, maxDepth=6, seed=42) if t == "regression" else RandomForestClassifier(numTrees=100, maxDepth=6, seed=42))),
     "gradient_boosting": (("regression", "binary", "multiclass"), lambda t, n: _boosted(t)),
     "logistic": (("binary", "multiclass"), lambda t, n: LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=200)),
     "naive_bayes": (("binary", "multiclass"), lambda t, n: NaiveBayes(modelType="gaussian")),
@@ -157,8 +157,9 @@ def estimator(name: str, task: str, rows: int, settings: Mapping[str, object] |
         model.setRegParam(absolute + squared)
         model.setElasticNetParam(absolute / (absolute + squared))
     for key, value in (settings or {}).items():
-        if inner.hasParam(key):
-            inner._set(**{key: value})
+        if not inner.hasParam(key):
+            raise ValueError(f"{name} has no setting {key}")
+        inner._set(**{key: value})
     return model
 
 
@@ -217,7 +218,8 @@ def train(df: DataFrame, target: str, model: str, key: Sequence[str], features:
         if task == "binary" and "probability" in predictions.columns:
             scored = predictions.withColumn("score", vector_to_array("probability")[1])
         metrics = classification_metrics(scored, "score" if "score" in scored.columns else None).first().asDict()
-    return Trained(model, task, target, features, classes, fitted, predictions, metrics, seconds)
+    # The learner that ran, whatever name it was asked by.
+    return Trained(ALIASES.get(model, model), task, target, features, classes, fitted, predictions, metrics, seconds)
 
 
 # ---- metrics ---------------------------------------------------------------------------------
@@ -344,18 +346,25 @@ def permutation_importance(trained: Trained, held: DataFrame, key: Sequence[str]
                 else scored.agg(F.avg((F.col(LABEL) == F.col("prediction")).cast("double")).alias("m")))
 
     base = measure(rows).first()[0]
-    numbered = with_row_number(rows, list(key), name="__a")
+    names = list(columns or trained.features)
+    values = [f"__v{j}" for j in range(len(names))]
+    numbered = with_row_number(rows, list(key), name="__a").persist(StorageLevel.MEMORY_AND_DISK)
+    losses: dict[str, list[float]] = {c: [] for c in names}
+    for i in range(repeats):
+        # One order per repeat serves all columns.
+        order = [f"__k{j}" for j in range(len(key))]
+        mixed = numbered.select(F.xxhash64(*[col(k) for k in key], F.lit(seed + i)).alias("__h"), *[col(k).alias(o) for k, o in zip(key, order)],
+                                *[col(c).alias(v) for c, v in zip(names, values)])
+        other = with_row_number(mixed, ["__h", *order], name="__b").select("__b", *values)
+        paired = numbered.join(other, F.col("__a") == F.col("__b")).drop("__a", "__b").persist(StorageLevel.MEMORY_AND_DISK)
+        for c, v in zip(names, values):
+            losses[c].append(base - measure(paired.withColumn(c, F.col(v)).drop(*values)).first()[0])
+        paired.unpersist()
+    numbered.unpersist()
     out = []
-    for c in columns or trained.features:
-        losses = []
-        for i in range(repeats):
-            mixed = rows.select(F.xxhash64(*[col(k) for k in key], F.lit(seed + i)).alias("__h"), *[col(k).alias(f"__k{j}") for j, k in enumerate(key)],
-                                col(c).alias("__value"))
-            other = with_row_number(mixed, ["__h", *[f"__k{j}" for j in range(len(key))]], name="__b").select("__b", "__value")
-            shuffled = numbered.join(other, F.col("__a") == F.col("__b")).withColumn(c, F.col("__value")).drop("__a", "__b", "__value")
-            losses.append(base - measure(shuffled).first()[0])
-        mean = sum(losses) / repeats
-        out.append((c, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
+    for c, lost in losses.items():
+        mean = sum(lost) / repeats
+        out.append((c, mean, (sum((x - mean) ** 2 for x in lost) / repeats) ** 0.5))
     out.sort(key=lambda x: (-x[1], x[0]))
     return held.sparkSession.createDataFrame(out, "feature string, importance double, deviation double")
 
@@ -382,9 +391,20 @@ BOARD = ("rank int, model string, task string, score double, r2 double, mae doub
 
 def leaderboard(df: DataFrame, target: str, key: Sequence[str], models: Sequence[str], features: Sequence[str] | None = None,
                 by: str | None = None, settings: Mapping[str, Mapping] | None = None) -> tuple[DataFrame, Trained]:
-    """All models on the same rows, best first (R2, or ``by``: f1 or auc), and the champion."""
+    """All models on the same rows, best first (R2, or ``by``: f1 or auc), and the champion.
+
+    The source is read once: both parts of the split are kept while the models train.
+    """
     task = task_type(df, target)
-    runs = [train(df, target, m, key, features, task, settings=(settings or {}).get(m)) for m in models]
+    features = list(features) if features is not None else [c for c in df.columns if c != target and c not in key]
+    known = typed(df.where(~is_missing(df, target)), features)
+    labelled = with_label(known, target, task, [] if task == "regression" else class_names(known, target))
+    kept = tuple(part.persist(StorageLevel.MEMORY_AND_DISK) for part in split(labelled, key))
+    try:
+        runs = [train(df, target, m, key, features, task, settings=(settings or {}).get(m), parts=kept) for m in models]
+    finally:
+        for part in kept:
+            part.unpersist()
     by = by or ("r2" if task == "regression" else "f1")
 
     def points(t: Trained) -> float:
@@ -399,22 +419,28 @@ def leaderboard(df: DataFrame, target: str, key: Sequence[str], models: Sequence
 
 def tune(df: DataFrame, target: str, model: str, key: Sequence[str], grid: Mapping[str, Sequence],
          features: Sequence[str] | None = None, seed: int = 42) -> tuple[DataFrame, PipelineModel]:
-    """Every combination of settings on a fixed validation part of the training rows."""
+    """Every combination of settings on a validation part of the training rows, drawn by a hash of the key; the best is fitted on all of them."""
     task = task_type(df, target)
     features = list(features) if features is not None else [c for c in df.columns if c != target and c not in key]
     known = typed(df.where(~is_missing(df, target)), features)
     rows, _ = split(with_label(known, target, task, [] if task == "regression" else class_names(known, target)), key)
-    learner = estimator(model, task, rows.count(), deviation=_deviation(rows, task))
+    # Another seed than the outer split's, so that the two hashes are independent.
+    fit_rows, held = split(rows, key, seed=seed + 1)
+    ready = Pipeline(stages=preparation(fit_rows, features)).fit(fit_rows)
+    fit_rows, held = (ready.transform(part).persist(StorageLevel.MEMORY_AND_DISK) for part in (fit_rows, held))
+    learner = estimator(model, task, fit_rows.count(), deviation=_deviation(fit_rows, task))
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
     judge = (RegressionEvaluator(labelCol=LABEL, metricName="r2") if task == "regression"
              else MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1"))
-    settings = builder.build()
-    search = TrainValidationSplit(estimator=Pipeline(stages=[*preparation(rows, features), learner]), estimatorParamMaps=settings,
-                                  evaluator=judge, trainRatio=0.8, seed=seed).fit(rows)
-    table = [(", ".join(f"{p.name}={v}" for p, v in s.items()), float(m)) for s, m in zip(settings, search.validationMetrics)]
-    return df.sparkSession.createDataFrame(table, "settings string, score double").orderBy(F.desc("score")), search.bestModel
+    tried = [(float(judge.evaluate(learner.fit(fit_rows, s).transform(held))), s) for s in builder.build()]
+    for part in (fit_rows, held):
+        part.unpersist()
+    best = max(tried, key=lambda t: t[0])[1]
+    chosen = estimator(model, task, rows.count(), {p.name: v for p, v in best.items()}, _deviation(rows, task))
+    table = [(", ".join(f"{p.name}={v}" for p, v in s.items()), m) for m, s in tried]
+    return df.sparkSession.createDataFrame(table, "settings string, score double").orderBy(F.desc("score"), "settings"), Pipeline(stages=[*preparation(rows, features), chosen]).fit(rows)
 
 
 def multilabel(df: DataFrame, targets: Sequence[str], key: Sequence[str], model: str = "logistic",

@@ -10,8 +10,6 @@ from lumenframe.operators.dbscan import dbscan
 from lumenframe.operators.svr import LinearSVR
 from lumenframe.plans.registry import query, r, rounded, show, table
 
-SMALL = {"numTrees": 10, "maxIter": 10}
-
 
 def parts(spark, d):
     """Parts with a price to predict, a two-way and a three-way class that depend on the columns."""
@@ -39,22 +37,21 @@ def split(spark, d):
 
 
 def trained(spark, d, target, model, features=("p_brand", "p_type", "p_size")):
-    return md.train(parts(spark, d), target, model, ["p_partkey"], list(features), settings=SMALL)
+    return md.train(parts(spark, d), target, model, ["p_partkey"], list(features))
 
 
 @query("Q3_Q6_regression_board")
 def regression_board(spark, d):
     names = ["linear", "ridge", "lasso", "elastic_net", "decision_tree", "random_forest", "xgboost", "linear_svr"]
     t = parts(spark, d).withColumn("y", F.col("p_size") * 10 + F.length("p_brand") + F.col("p_partkey") % 7)
-    board, _ = md.leaderboard(t, "y", ["p_partkey"], names, ["p_brand", "p_type", "p_size"], settings={n: SMALL for n in names if n != "linear_svr"})
+    board, _ = md.leaderboard(t, "y", ["p_partkey"], names, ["p_brand", "p_type", "p_size"])
     return board.drop("seconds")
 
 
 @query("Q4_Q10_classification_board")
 def classification_board(spark, d):
     names = ["logistic", "decision_tree", "random_forest", "gradient_boosting", "naive_bayes", "linear_svc"]
-    board, _ = md.leaderboard(parts(spark, d), "big", ["p_partkey"], names, ["p_brand", "p_type", "p_size"],
-                              settings={n: SMALL for n in names})
+    board, _ = md.leaderboard(parts(spark, d), "big", ["p_partkey"], names, ["p_brand", "p_type", "p_size"])
     return board.drop("seconds")
 
 
@@ -100,9 +97,9 @@ def importances(spark, d):
 
 @query("Q18_permutation_importance")
 def permutation(spark, d):
-    run = trained(spark, d, "tier", "decision_tree", ["p_size", "p_type"])
+    run = trained(spark, d, "tier", "decision_tree")
     held = md.split(parts(spark, d), ["p_partkey"])[1]  # the rows that training left out
-    return md.permutation_importance(run, held, ["p_partkey"], repeats=1)
+    return md.permutation_importance(run, held, ["p_partkey"])
 
 
 @query("Q19_local_drivers")
@@ -119,14 +116,14 @@ def scenarios(spark, d):
 
 @query("Q22_tuning")
 def tuning(spark, d):
-    board, _ = md.tune(parts(spark, d), "tier", "decision_tree", ["p_partkey"], {"maxDepth": [2, 5]}, ["p_size", "p_type"])
+    board, _ = md.tune(parts(spark, d).drop("big"), "tier", "decision_tree", ["p_partkey"], {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 5]})
     return board
 
 
 @query("Q21_Q23_automl")
 def automl(spark, d):
     t = parts(spark, d).withColumn("leak", (F.col("big") == "yes").cast("double"))
-    out = md.automl(t.drop("tier"), "big", ["p_partkey"], ["logistic", "decision_tree"])
+    out = md.automl(t.drop("tier"), "big", ["p_partkey"])
     leaks = out.leaks.where("leaks").select(F.lit("leak").alias("kind"), F.col("feature").alias("name"), F.lit(None).cast("double").alias("value"))
     board = out.leaderboard.select(F.lit("model").alias("kind"), F.col("model").alias("name"), F.col("score").alias("value"))
     return leaks.union(board).union(out.importances.select(F.lit("importance").alias("kind"), "feature", "importance"))
@@ -300,7 +297,7 @@ def density_eight(spark, d):
 
 @query("Q28_elbow")
 def elbow(spark, d):
-    return cl.elbow(table(spark, d, "part"), ["p_size", "p_retailprice"], 4)
+    return cl.elbow(table(spark, d, "part"), ["p_size", "p_retailprice"])
 
 
 @query("Q29_explained_spread", f"""
