@@ -2,9 +2,11 @@
 
 As-of joins put both tables into one order (keys, time) that is cut into ranges, and carry the last
 row of the right table forward as a fill does, so a key with most of the rows is cut like any other.
-Interval joins give every interval to the one or two cells it touches of a grid as wide as itself,
+Interval joins of keys with few intervals join on the keys. Where a key has many, or none is given,
+they give every interval to the one or two cells it touches of a grid as wide as itself,
 and every point to its cell of each width in use, and join on cells; no pair of rows outside a
-shared cell is formed, and a long interval is not copied into many short cells.
+shared cell is formed, and a long interval is not copied into many short cells. Cells with many
+rows are cut into slices.
 """
 
 from __future__ import annotations
@@ -15,8 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumenframe.functions.columns import col, normalise_missing, require, time_columns
 from lumenframe.operators.ordered import fill
+from lumenframe.session import ensure_checkpoint_dir
 
 LOWEST, HIGHEST = -900, 1_000   # powers of two between which cells are as wide as an interval
+FLAT = LOWEST - 1               # stands for the width where a key has no grid
+CROWD = 1_000                   # intervals of a key above which they are laid on a grid
+SLICE_POINTS, SLICE_INTERVALS = 4_096, 65_536   # rows of a cell that meet in one piece
 
 
 def _names(names: Sequence[str] | str | None, other: list[str] | None = None) -> list[str]:
@@ -103,28 +109,75 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.unix_micros(col(name).cast("timestamp")).cast("double") if name in time_columns(df) else col(name).cast("double")
 
 
+def _sliced(left: DataFrame, right: DataFrame, cells: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with columns i and j: a cell of many points or intervals is cut into slices of bounded size, and each
+    slice of the one table meets each of the other. Cells are the pairs of columns ``cells``; most have one slice."""
+    own, other = [a for a, _ in cells], [b for _, b in cells]
+    counts = [df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(
+        *[F.col(c).alias(f"s{x}") for x, c in enumerate(names)], F.ceil(F.col("n") / most).alias("n"))
+        for df, names, most in ((left, own, SLICE_POINTS), (right, other, SLICE_INTERVALS))]
+
+    def dealt(df: DataFrame, names: list[str], kept: str, copied: str, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        """Rows go to one slice of their own by number, whatever they hold, and to each slice of the other table."""
+        out = df.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+        for table, place in ((mine, kept), (theirs, copied)):
+            same = F.lit(True)
+            for x, c in enumerate(names):
+                same = same & F.col(c).eqNullSafe(F.col(f"s{x}"))
+            parts = F.coalesce(F.col("n"), F.lit(1))
+            at = F.pmod(F.col("row"), parts) if place == kept else F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+            out = out.join(F.broadcast(table), same, "left").select(*[c for c in out.columns], at.alias(place))
+        return out.drop("row")
+
+    return dealt(left, own, "i", "j", counts[0], counts[1]), dealt(right, other, "j1", "i1", counts[1], counts[0])
+
+
 def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, on: Sequence[tuple[str, str]], open_start: bool, null_keys_match: bool) -> DataFrame:
-    """Structs (l, r) of the points and the intervals that hold them."""
+    """Structs (l, r) of the points and the intervals that hold them. Both tables are read several times."""
     low, high = _number(intervals, start), _number(intervals, end)
     length, size = high - low, F.greatest(F.abs(low), F.abs(high))
     # As wide as the interval, and wide enough that cells can be told apart in a double.
     width = F.greatest(F.when(length > 0, F.ceil(F.log2(length))).otherwise(LOWEST), F.when(size > 0, F.floor(F.log2(size)) - 50).otherwise(LOWEST), F.lit(LOWEST)).cast("int")
-    keys_l = [col(a).alias(f"k{i}") for i, (a, _) in enumerate(on)]
-    keys_r = [col(b).alias(f"h{i}") for i, (_, b) in enumerate(on)]
+    mine, theirs = [f"k{i}" for i in range(len(on))], [f"h{i}" for i in range(len(on))]
+    keys_l = [col(a).alias(k) for k, (a, _) in zip(mine, on)]
+    keys_r = [col(b).alias(h) for h, (_, b) in zip(theirs, on)]
     right = intervals.where(col(start) <= col(end)).select(F.struct(*[col(c) for c in intervals.columns]).alias("r"), *keys_r, low.alias("low"), high.alias("high"), width.alias("width"))
     right = right.where(F.col("width") <= HIGHEST)
-    right = right.select("r", *[f"h{i}" for i in range(len(on))], "width", F.explode(F.sequence(
-        F.floor(F.col("low") / F.pow(F.lit(2.0), "width")), F.floor(F.col("high") / F.pow(F.lit(2.0), "width")))).alias("cell"))
-    widths = sorted(r.width for r in right.select("width").distinct().collect())    # powers of two that occur: few, 1,900 at most
-    left = points.where(col(point).isNotNull()).select(F.struct(*[col(c) for c in points.columns]).alias("l"), *keys_l, _number(points, point).alias("x"),
-                                                       F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>")).alias("w"))
+    left = points.where(col(point).isNotNull()).select(F.struct(*[col(c) for c in points.columns]).alias("l"), *keys_l, _number(points, point).alias("x"))
+
+    # Keys with few intervals need no grid: their points meet all of them, and are not copied to the widths in use.
+    crowded = right.groupBy(*theirs).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*[F.col(h).alias(f"s{x}") for x, h in enumerate(theirs)])
+    many = bool(crowded.take(1)) if not on else True
+
+    def gridded(df: DataFrame, names: list[str]) -> DataFrame:
+        if not on:
+            return df.withColumn("grid", F.lit(many))
+        same = F.lit(True)
+        for x, c in enumerate(names):
+            same = same & F.col(c).eqNullSafe(F.col(f"s{x}"))
+        return df.join(F.broadcast(crowded.withColumn("found", F.lit(True))), same, "left").select(*[F.col(c) for c in df.columns], F.col("found").isNotNull().alias("grid"))
+
+    right = gridded(right, theirs)
+    widths = sorted(r.width for r in right.where("grid").select("width").distinct().collect())    # powers of two that occur: few, 1,900 at most
+    power = F.pow(F.lit(2.0), "width")
+    right = right.select("r", *theirs, F.when(F.col("grid"), F.col("width")).otherwise(FLAT).alias("width"), F.explode(F.when(
+        F.col("grid"), F.sequence(F.floor(F.col("low") / power), F.floor(F.col("high") / power))).otherwise(F.array(F.lit(0).cast("long")))).alias("cell"))
+    left = gridded(left, mine).withColumn("w", F.explode(F.when(F.col("grid"), F.array(*[F.lit(w) for w in widths]).cast("array<int>")).otherwise(F.array(F.lit(FLAT)))))
     spot = F.col("x") / F.pow(F.lit(2.0), "w")
-    left = left.select("l", *[f"k{i}" for i in range(len(on))], "w", F.when(F.abs(spot) < 2.0 ** 62, F.floor(spot)).alias("spot"))
-    same = (F.col("w") == F.col("width")) & (F.col("spot") == F.col("cell"))
-    for i in range(len(on)):
-        same = same & (F.col(f"k{i}").eqNullSafe(F.col(f"h{i}")) if null_keys_match else F.col(f"k{i}") == F.col(f"h{i}"))
+    left = left.select("l", *mine, "w", F.when(F.col("w") == FLAT, F.lit(0).cast("long")).when(F.abs(spot) < 2.0 ** 62, F.floor(spot)).alias("spot")).where("spot is not null")
+    left, right = _sliced(left, right, [*zip(mine, theirs), ("w", "width"), ("spot", "cell")])
+    same = (F.col("w") == F.col("width")) & (F.col("spot") == F.col("cell")) & (F.col("i") == F.col("i1")) & (F.col("j") == F.col("j1"))
+    for k, h in zip(mine, theirs):
+        same = same & (F.col(k).eqNullSafe(F.col(h)) if null_keys_match else F.col(k) == F.col(h))
     p, a, b = F.col("l").getField(point), F.col("r").getField(start), F.col("r").getField(end)
-    return left.join(right, same & (p > a if open_start else p >= a) & (p <= b)).select("l", "r")
+    # Merged, never broadcast: planners take these tables for smaller than they are, and pairs come from all tasks.
+    return left.hint("merge").join(right, same & (p > a if open_start else p >= a) & (p <= b)).select("l", "r")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows written once: they are counted, dealt by their numbers and joined."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _pairs(on: Sequence[str] | str, right_on: Sequence[str] | str | None) -> list[tuple[str, str]]:
@@ -149,7 +202,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: st
     require(intervals, [start, end, *[b for _, b in pairs]])
     if how not in ("inner", "left", "semi", "anti") or (how != "inner" and not _names(key)):
         raise ValueError("interval joins are inner, or left, semi or anti with key")
-    points, intervals = normalise_missing(points), normalise_missing(intervals)
+    points, intervals = _stored(normalise_missing(points)), _stored(normalise_missing(intervals))
     met = _meet(points, intervals, point, start, end, pairs, False, null_keys_match)
     dropped = [b for a, b in pairs if a == b]
     if how == "inner":
@@ -176,7 +229,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str]
     (a, b), (c, d) = left_bounds, right_bounds
     require(left, [a, b, *[x for x, _ in pairs]])
     require(right, [c, d, *[y for _, y in pairs]])
-    left, right = normalise_missing(left), normalise_missing(right)
+    left, right = _stored(normalise_missing(left)), _stored(normalise_missing(right))
     proper = [df.where(col(s) <= col(e)) for df, s, e in ((left, a, b), (right, c, d))]
     inside = _meet(proper[1], proper[0], c, a, b, [(y, x) for x, y in pairs], False, null_keys_match).select(F.col("r").alias("l"), F.col("l").alias("r"))
     later = _meet(proper[0], proper[1], a, c, d, pairs, True, null_keys_match)

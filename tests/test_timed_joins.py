@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401, registers the queries
-from lumenframe.operators import ordered
+from lumenframe.operators import ordered, timed_joins
 from lumenframe.operators.timed_joins import asof_join, interval_join, overlap_join
 from lumenframe.plans.registry import QUERIES
 
@@ -119,3 +119,15 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE_ROWS", 500)
     o = ordered.cut(spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("v")), "v")
     assert max(r["count"] for r in o.df.groupBy(ordered.RANGE).count().collect()) <= 1_000
+
+
+def test_points_are_not_copied_to_all_widths_nor_broadcast(spark):
+    """Few intervals for each key: a point has one row in the join, whatever the widths in use."""
+    points = spark.range(2_000).select(F.col("id").alias("a"), (F.col("id") % 50).alias("k"), (F.col("id") * 1.0).alias("x"))
+    spans = spark.range(500).select(F.col("id").alias("b"), (F.col("id") % 50).alias("k"), (F.col("id") * 2.0).alias("s"), (F.col("id") * 2.0 + F.pow(F.lit(2.0), F.col("id") % 20)).alias("e"))
+    out = interval_join(points, spans, "x", "s", "e", "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == plan.count("LeftOuter, BuildRight")
+    assert str(timed_joins.FLAT) in plan
+    want = sum(1 for i in range(2_000) for j in range(500) if i % 50 == j % 50 and 2 * j <= i <= 2 * j + 2 ** (j % 20))
+    assert out.count() == want
