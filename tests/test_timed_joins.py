@@ -131,3 +131,18 @@ def test_points_are_not_copied_to_all_widths_nor_broadcast(spark):
     assert str(timed_joins.FLAT) in plan
     want = sum(1 for i in range(2_000) for j in range(500) if i % 50 == j % 50 and 2 * j <= i <= 2 * j + 2 ** (j % 20))
     assert out.count() == want
+
+
+@pytest.mark.parametrize("crowd", [1, 1_000])
+def test_crowded_cells_are_cut_into_slices(spark, monkeypatch, crowd):
+    """All points and intervals of a key meet in one cell, copies among them; slices must neither lose nor repeat a pair."""
+    for name, value in (("CROWD", crowd), ("SLICE_POINTS", 40), ("SLICE_INTERVALS", 25)):
+        monkeypatch.setattr(timed_joins, name, value)
+    points = spark.range(600).select(F.col("id").alias("a"), F.when(F.col("id") % 9 != 0, F.lit(1)).alias("k"), (F.col("id") % 4 / 4.0).alias("x"))
+    spans = spark.range(300).select(F.col("id").alias("b"), F.when(F.col("id") % 9 != 0, F.lit(1)).alias("k"), (F.col("id") % 3 / 4.0).alias("s"), (F.col("id") % 3 / 4.0 + 0.25).alias("e"))
+    got = sorted((r.a, r.b) for r in interval_join(points, spans, "x", "s", "e", "k").collect())
+    want = sorted((i, j) for i in range(600) for j in range(300) if (i % 9 == 0) == (j % 9 == 0) and j % 3 <= i % 4 <= j % 3 + 1)
+    assert got == want
+    bare = interval_join(points.drop("k"), spans.drop("k"), "x", "s", "e")
+    assert bare.count() == sum(1 for i in range(600) for j in range(300) if j % 3 <= i % 4 <= j % 3 + 1)
+    assert "i1" in bare._jdf.queryExecution().optimizedPlan().toString()
