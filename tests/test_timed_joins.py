@@ -146,3 +146,12 @@ def test_crowded_cells_are_cut_into_slices(spark, monkeypatch, crowd):
     bare = interval_join(points.drop("k"), spans.drop("k"), "x", "s", "e")
     assert bare.count() == sum(1 for i in range(600) for j in range(300) if j % 3 <= i % 4 <= j % 3 + 1)
     assert "i1" in bare._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlaps_of_keys_with_few_intervals_need_no_grid(spark):
+    spans = spark.range(900).select(F.col("id").alias("b"), (F.col("id") % 90).alias("k"), (F.col("id") * 2.0).alias("s"), (F.col("id") * 2.0 + F.pow(F.lit(2.0), F.col("id") % 9)).alias("e"))
+    out = overlap_join(spans, spans, ("s", "e"), ("s", "e"), "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and str(timed_joins.FLAT) in plan
+    rows = [(i, i % 90, 2.0 * i, 2.0 * i + 2.0 ** (i % 9)) for i in range(900)]
+    assert out.count() == sum(1 for _, k, a, b in rows for _, q, c, d in rows if k == q and a <= d and c <= b)
