@@ -268,3 +268,16 @@ def test_dates_are_decided_on_all_values(spark):
     assert {r["column"]: r["role"] for r in pf.profile(df).collect()} == {"sale_date": "categorical", "plain": "datetime"}
     assert pf.feature_categories(df)["datetime"] == ["plain"]
     assert ts.detect_columns(df)[0] is None
+
+
+def test_resample_shuffles_no_empty_period(spark):
+    """A regular row comes from the found period before it: one sort of found periods, no join with a spine of all periods."""
+    df = spark.createDataFrame([(1, "2020-01-01", 2.0), (1, "2020-03-05", None), (1, "2020-02-29", 4.0), (2, "2021-12-31", 1.0), (None, "2021-01-01", 9.0), (3, None, 1.0)], "k int, d string, v double")
+    daily = ts.resample(df, "d", "v", "D", "mean", ["k"])
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")
+    got = [(r.k, str(r.period.date()), r.value) for r in daily.orderBy("k", "period").collect()]
+    assert len(got) == 66 and got[0] == (1, "2020-01-01", 2.0) and got[59] == (1, "2020-02-29", 4.0) and got[64] == (1, "2020-03-05", None) and got[65] == (2, "2021-12-31", 1.0)
+    assert sum(v is not None for _, _, v in got) == 3
+    for freq, periods in (("W", 11), ("M", 4), ("Q", 2), ("Y", 2)):
+        assert ts.resample(df, "d", "v", freq, "sum", ["k"]).where("value is not null").count() == periods, freq
