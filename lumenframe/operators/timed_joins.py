@@ -11,6 +11,7 @@ rows are cut into slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -23,6 +24,8 @@ LOWEST, HIGHEST = -900, 1_000   # powers of two between which cells are as wide
 FLAT = LOWEST - 1               # stands for the width where a key has no grid
 CROWD = 1_000                   # intervals of a key above which they are laid on a grid
 SLICE_POINTS, SLICE_INTERVALS = 4_096, 65_536   # rows of a cell that meet in one piece
+COMPARED = 50_000_000   # pairs of a cell's rows that a joining task compares, about
+MOST_TASKS = 20_000
 
 
 def _names(names: Sequence[str] | str | None, other: list[str] | None = None) -> list[str]:
@@ -132,6 +135,21 @@ def _sliced(left: DataFrame, right: DataFrame, cells: list[tuple[str, str]]) ->
     return dealt(left, own, "i", "j", counts[0], counts[1]), dealt(right, other, "j1", "i1", counts[1], counts[0])
 
 
+def _tasks(left: DataFrame, right: DataFrame, cells: list[tuple[str, str]]) -> int:
+    """Tasks that the pairs of rows in shared cells need, 0 where those that the planner takes will do.
+
+    Pairs may grow with the square of the rows, and planners count bytes only.
+    """
+    a = left.groupBy(*[x for x, _ in cells]).agg(F.count(F.lit(1)).alias("n"))
+    b = right.groupBy(*[y for _, y in cells]).agg(F.count(F.lit(1)).alias("m"))
+    same = F.lit(True)
+    for x, y in cells:
+        same = same & F.col(x).eqNullSafe(F.col(y))
+    pairs = a.join(b, same).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    tasks = min(MOST_TASKS, math.ceil(pairs / COMPARED))
+    return tasks if tasks > left.sparkSession.sparkContext.defaultParallelism else 0
+
+
 def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, on: Sequence[tuple[str, str]], open_start: bool, null_keys_match: bool) -> DataFrame:
     """Structs (l, r) of the points and the intervals that hold them. Both tables are read several times."""
     low, high = _number(intervals, start), _number(intervals, end)
@@ -165,7 +183,12 @@ def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end:
     left = gridded(left, mine).withColumn("w", F.explode(F.when(F.col("grid"), F.array(*[F.lit(w) for w in widths]).cast("array<int>")).otherwise(F.array(F.lit(FLAT)))))
     spot = F.col("x") / F.pow(F.lit(2.0), "w")
     left = left.select("l", *mine, "w", F.when(F.col("w") == FLAT, F.lit(0).cast("long")).when(F.abs(spot) < 2.0 ** 62, F.floor(spot)).alias("spot")).where("spot is not null")
-    left, right = _sliced(left, right, [*zip(mine, theirs), ("w", "width"), ("spot", "cell")])
+    cells = [*zip(mine, theirs), ("w", "width"), ("spot", "cell")]
+    tasks = _tasks(left, right, cells) if widths or not on else 0     # without a grid, a row meets CROWD intervals of its keys at most
+    left, right = _sliced(left, right, cells)
+    if tasks:
+        left, right = (df.repartition(tasks, *names) for df, names in (
+            (left, [*mine, "w", "spot", "i", "j"]), (right, [*theirs, "width", "cell", "i1", "j1"])))
     same = (F.col("w") == F.col("width")) & (F.col("spot") == F.col("cell")) & (F.col("i") == F.col("i1")) & (F.col("j") == F.col("j1"))
     for k, h in zip(mine, theirs):
         same = same & (F.col(k).eqNullSafe(F.col(h)) if null_keys_match else F.col(k) == F.col(h))

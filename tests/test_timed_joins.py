@@ -155,3 +155,15 @@ def test_overlaps_of_keys_with_few_intervals_need_no_grid(spark):
     assert plan.count("SortMergeJoin") == 2 and str(timed_joins.FLAT) in plan
     rows = [(i, i % 90, 2.0 * i, 2.0 * i + 2.0 ** (i % 9)) for i in range(900)]
     assert out.count() == sum(1 for _, k, a, b in rows for _, q, c, d in rows if k == q and a <= d and c <= b)
+
+
+def test_tasks_grow_with_the_pairs_of_a_band_join(spark, monkeypatch):
+    points = spark.range(3_000).select(F.col("id").alias("a"), (F.col("id") % 100 * 1.0).alias("x"))
+    spans = spark.range(1_000).select(F.col("id").alias("b"), (F.col("id") % 100 * 1.0).alias("s"), (F.col("id") % 100 + 5.0).alias("e"))
+    monkeypatch.setattr(timed_joins, "CROWD", 100)
+    few = interval_join(points, spans, "x", "s", "e")
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(timed_joins, "COMPARED", 10_000)
+    out = interval_join(points, spans, "x", "s", "e")
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert out.count() == few.count() == sum(1 for i in range(3_000) for j in range(1_000) if 0 <= i % 100 - j % 100 <= 5)
