@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.operators import isolation
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.dbscan import dbscan
 from lumenframe.operators.isolation import isolation_scores, model_outliers
@@ -137,3 +138,16 @@ def test_isolation_forest_finds_planted_outliers(spark, cloud):
     np.testing.assert_allclose(scores.score, again.score)
     kept = model_outliers(df, "id", ["a", "b"], action="remove", contamination=.01, trees=40)
     assert kept.where("id >= 900").count() == 0
+
+
+def test_forest_scores_are_dealt_and_equal_a_walk_of_each_tree(spark, cloud, monkeypatch):
+    monkeypatch.setattr(isolation, "SCORED_ROWS", 50)
+    one = spark.createDataFrame(cloud).coalesce(1)
+    assert isolation_scores(one, "id", ["a", "b"], trees=5).rdd.getNumPartitions() == 7
+    x = cloud[["a", "b"]].to_numpy()
+    trees = [isolation._grow(x[i::7], 5, np.random.default_rng(i)) for i in range(4)]
+
+    def walk(tree, row, depth=0):
+        return depth + float(isolation._average_path(tree[0])) if len(tree) == 1 else walk(tree[2 if row[tree[0]] < tree[1] else 3], row, depth + 1)
+
+    np.testing.assert_allclose(isolation._mean_path(isolation._flat(trees), x), [sum(walk(t, row) for t in trees) / 4 for row in x], rtol=1e-14)
