@@ -81,3 +81,13 @@ def test_gaps_equal_points_and_empty_tables(spark):
 def test_products_that_cannot_tell_are_settled_by_differences():
     centres = 1e8 + np.array([[0.0], [1e-7], [2.0]])
     assert list(wd.nearest(centres.copy(), centres)) == [0, 1, 2]
+
+
+def test_a_task_folds_all_its_points_before_it_halves_groups(spark):
+    """5,000 different points over many batches of one task: the leaves are those of all points at once."""
+    df = spark.range(60_000, numPartitions=1).select((F.col("id") * 7 % 50).cast("double").alias("a"), (F.col("id") * 13 % 100 * 3).cast("double").alias("b"))
+    got = wd.features(df, ["a", "b"], leaves=40).toPandas()
+    counts = df.groupBy("a", "b").count().toPandas()
+    n, mean, ss = wd._fold(counts["count"].to_numpy(dtype=float), counts[["a", "b"]].to_numpy(), np.zeros(len(counts)), 40)
+    assert sorted(got["n"]) == sorted(n)
+    assert got["ss"].sum() == pytest.approx(ss.sum())
