@@ -126,3 +126,9 @@ def test_rows_never_go_to_one_task(table, build):
     for part in plan.split("Exchange SinglePartition")[1:]:
         below = part[:600]
         assert "__n" in below and "count" in below, below
+
+
+def test_large_groups_are_counted_and_folded_once(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = group_quantiles(t, ["l_returnflag"], "l_extendedprice", [.5], small=60)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
