@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.operators import cleaning as cl, profile as pf, quality as ql, summaries as sm
 from lumenframe.plans.registry import query, r, rounded, show, table
@@ -162,11 +164,14 @@ def merged_summaries(spark, d):
     sm.keep(sm.summarise(t, KEPT, "day"), path, "yyyy")
     found = sm.read_out(sm.merge(sm.kept(spark, path)))
     estimate = {r["column"]: r for r in found.collect()}    # one row for each column
-    checks = [F.array(F.countDistinct(c), F.count(c), *[
-        F.count_if(F.col(c) < F.lit(estimate[c][q])) if estimate[c][q] is not None else F.lit(None).cast("long") for q in ("q25", "q50", "q75")], *[
-        F.count_if(F.col(c) <= F.lit(estimate[c][q])) if estimate[c][q] is not None else F.lit(None).cast("long") for q in ("q25", "q50", "q75")]).alias(c) for c in KEPT]
-    exact = t.agg(*checks)
-    long = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in KEPT])).alias("e")).select("e.*")
+    # Each column is folded to its values by itself: distinct counts of seven columns in one aggregate copy every row eight times.
+    def exact(c):
+        values = t.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        upto = [F.coalesce(F.sum(F.when(test(estimate[c][q]), F.col("n"))), F.lit(0)) if estimate[c][q] is not None else F.lit(None).cast("long")
+                for test in (lambda e: F.col("v") < F.lit(e), lambda e: F.col("v") <= F.lit(e)) for q in ("q25", "q50", "q75")]
+        return values.agg(F.array(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), *upto).alias("x")).select(F.lit(c).alias("column"), "x")
+
+    long = reduce(DataFrame.union, map(exact, KEPT))
     near = F.lit(True)
     for i, q in enumerate((0.25, 0.5, 0.75)):
         near = near & (F.col("x")[2 + i] <= (q + sm.RANK_ERROR) * F.col("x")[1]) & (F.col("x")[5 + i] >= (q - sm.RANK_ERROR) * F.col("x")[1])

@@ -100,3 +100,9 @@ def test_signed_ranks_are_exact_in_small_samples(spark):
         assert got[n].exact and abs(got[n].p_value - min(1.0, 2 * sum(s <= low for s in sums) / len(sums))) < 1e-12
     assert 99 not in got and not got[98].exact
     assert abs(hy.wilcoxon(df.where("g = 7"), "a", "b").first().p_value - got[7].p_value) < 1e-12
+
+
+def test_exact_figures_do_not_copy_rows_for_each_column(spark):
+    from lumenframe.plans.registry import QUERIES
+    plan = QUERIES["K1_E6_E7_merged_daily_summaries"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
