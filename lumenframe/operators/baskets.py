@@ -10,6 +10,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.functions.columns import col, safe_div
+from lumenframe.session import ensure_checkpoint_dir
 
 # A task of the pair count holds one square matrix over the frequent items.
 MATRIX_ITEMS = 2_000
@@ -18,10 +19,12 @@ MATRIX_ITEMS = 2_000
 def _frequent(df: DataFrame, transaction: str, item: str, min_support: float) -> tuple[DataFrame, int, dict[str, int]]:
     """Distinct (transaction, item) rows of frequent items, number of transactions, item counts.
 
-    At most (mean basket size / min_support) items are frequent, whatever the size of the table.
+    At most (mean basket size / min_support) items are frequent, whatever the size of the table. The rows are
+    written once, as they are counted before they are used.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     pairs = df.dropna(subset=[transaction, item]).select(
-        col(transaction).alias("t"), col(item).cast("string").alias("i")).distinct()
+        col(transaction).alias("t"), col(item).cast("string").alias("i")).distinct().checkpoint()
     total = pairs.agg(F.count_distinct("t")).first()[0]
     items = {r["i"]: r["n"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") >= min_support * total).collect()}
@@ -82,7 +85,8 @@ def _mined(df: DataFrame, transaction: str, item: str, min_support: float, min_c
     pairs, total, _ = _frequent(df, transaction, item, min_support)
     if total < 2:
         raise ValueError("at least two transactions are needed")
-    baskets = pairs.groupBy("t").agg(F.collect_list("i").alias("items"))
+    # Written once: they are counted, and read again by each step of the mining.
+    baskets = pairs.groupBy("t").agg(F.collect_list("i").alias("items")).select("items").checkpoint()
     # Support is relative to the baskets MLlib sees; baskets without a frequent item are not among them.
     seen = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / max(seen, 1)),

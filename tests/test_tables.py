@@ -281,3 +281,10 @@ def test_resample_shuffles_no_empty_period(spark):
     assert sum(v is not None for _, _, v in got) == 3
     for freq, periods in (("W", 11), ("M", 4), ("Q", 2), ("Y", 2)):
         assert ts.resample(df, "d", "v", freq, "sum", ["k"]).where("value is not null").count() == periods, freq
+
+
+def test_baskets_are_written_once(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    pairs, total, _ = bk._frequent(t, "l_orderkey", "l_partkey", 0.0)
+    assert "Relation" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert total == t.select("l_orderkey").distinct().count()
