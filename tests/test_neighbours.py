@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import isolation
+from lumenframe.operators import isolation, neighbours
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.dbscan import dbscan
 from lumenframe.operators.isolation import isolation_scores, model_outliers
@@ -151,3 +151,22 @@ def test_forest_scores_are_dealt_and_equal_a_walk_of_each_tree(spark, cloud, mon
         return depth + float(isolation._average_path(tree[0])) if len(tree) == 1 else walk(tree[2 if row[tree[0]] < tree[1] else 3], row, depth + 1)
 
     np.testing.assert_allclose(isolation._mean_path(isolation._flat(trees), x), [sum(walk(t, row) for t in trees) / 4 for row in x], rtol=1e-14)
+
+def test_ties_at_the_last_distance_leave_a_chunk_k_times_only():
+    rng = np.random.default_rng(2)
+    dist = rng.integers(0, 4, (50, 400)).astype(float)
+    dist[7], dist[8, :398] = 1.0, np.nan
+    for k in (1, 3, 60):
+        rows, hits = neighbours._nearest_hits(dist, k)
+        for i in range(50):
+            got = sorted((dist[i, j], j) for j in hits[rows == i])
+            assert got[:k] == sorted((d, j) for j, d in enumerate(dist[i]) if d == d)[:k] or (i == 8 and k > 2)
+            assert len(got) < 2 * k
+
+
+def test_many_ties_go_to_the_smallest_keys(spark):
+    """Places that differ only in the wanted column are all as near: 300 at each distance."""
+    df = spark.range(900).select("id", (F.col("id") % 3).cast("double").alias("a"), F.when(F.col("id") % 50 != 0, 899.0 - F.col("id")).alias("v"))
+    got = {r.id: r.v for r in knn_impute(df, "id", k=4, chunk_rows=60).collect()}
+    want = {i: np.mean([899 - j for j in [j for j in range(900) if j % 50 and j % 3 == i % 3][:4]]) for i in range(0, 900, 50)}
+    assert {i: got[i] for i in want} == pytest.approx(want)
