@@ -288,3 +288,10 @@ def test_baskets_are_written_once(spark):
     pairs, total, _ = bk._frequent(t, "l_orderkey", "l_partkey", 0.0)
     assert "Relation" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert total == t.select("l_orderkey").distinct().count()
+
+
+def test_auto_clean_folds_repeated_rows_once(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_returnflag", "l_quantity")
+    clean, _ = cl.auto_clean(t)
+    assert "Relation" not in clean._jdf.queryExecution().optimizedPlan().toString()
+    assert clean.count() == t.distinct().count()
