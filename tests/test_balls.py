@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators.balls import _bridges, _forest, ball_labels
+from lumenframe.operators.balls import Cells, _bridges, _forest, ball_labels
 from lumenframe.operators.dbscan import dbscan
 
 D = 6
@@ -84,3 +84,21 @@ def test_pivots_do_not_change_labels(spark, mixed):
     places = spark.createDataFrame(frame(mixed)).groupBy(F.array(*NAMES).alias("x")).agg(F.count("*").alias("w"), F.min("id").alias("id"))
     one, many = (sorted(map(tuple, ball_labels(places, .5, 4, 25, pivots=n).collect())) for n in (1, 40))
     assert one == many
+
+
+def test_visits_grow_as_the_points(spark, monkeypatch):
+    """Points of a dense table find their neighbours in their chunk, and balls of its largest cluster visit a few cells only."""
+    seen, visits = [], Cells._visits
+
+    def counted(*args, **more):
+        out = visits(*args, **more)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(Cells, "_visits", counted)
+    x = np.random.default_rng(5).normal(0, .12, (3_000, D))
+    places = spark.createDataFrame(frame(x)).select("id", F.lit(1).cast("long").alias("w"), F.array(*NAMES).alias("x"))
+    got = ball_labels(places, .22, 4, 20_000).toPandas().set_index("id").label
+    want = expected(x, .22, 4)
+    assert sorted(got.index) == list(np.flatnonzero(want >= 0))
+    assert (np.searchsorted(np.unique(got), got.sort_index()) == want[want >= 0]).all()
+    assert len(got) > 2_500 and sum(seen) < 6 * len(x)      # of 54 cells
