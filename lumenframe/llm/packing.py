@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.llm.hilbert import hilbert_key
-from lumenframe.llm.tables import written
+from lumenframe.llm.tables import arrow_rows, written
 from lumenframe.llm.token_counts import vocabulary
 from lumenframe.llm.transducer import compiled
 
@@ -119,7 +119,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id: st
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    encoded = written(encode(rows, path, end_id, seed), "packing")
+    with arrow_rows(spark, GROUP):
+        encoded = written(encode(rows, path, end_id, seed), "packing")
     total = encoded.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
     # The place in the high bits, a hash of the id in the low ones.

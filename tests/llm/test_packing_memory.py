@@ -1,0 +1,29 @@
+"""What a packing task holds: documents handed over at once, and the transducer's table."""
+
+import public_tokenizers
+
+from lumenframe.llm import packing, transducer
+from lumenframe.llm.token_counts import vocabulary
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_documents_come_in_groups(spark, monkeypatch):
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.written
+
+    def noted(df, where):
+        seen.append(int(spark.conf.get(name)))
+        return written(df, where)
+    monkeypatch.setattr(packing, "written", noted)
+    before = spark.conf.get(name)
+    docs = spark.range(30).selectExpr("id as doc_id", "repeat('some words ', int(id)) as text")
+    assert packing.pack(docs, PATH).select("doc_id").distinct().count() == 30
+    assert seen == [packing.GROUP] and spark.conf.get(name) == before
+
+
+def test_the_table_is_little_larger_than_its_states():
+    machine = transducer.Transducer(vocabulary(PATH))
+    for n in range(1 << 14):
+        machine.state_of(("state", n), n)
+    assert len(machine.keys) <= len(machine.table) == len(machine.last) <= 1.3 * len(machine.keys)
+    assert (machine.last[2:len(machine.keys)] == range(1 << 14)).all()
