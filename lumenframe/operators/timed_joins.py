@@ -150,8 +150,22 @@ def _tasks(left: DataFrame, right: DataFrame, cells: list[tuple[str, str]]) -> i
     return tasks if tasks > left.sparkSession.sparkContext.defaultParallelism else 0
 
 
-def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, on: Sequence[tuple[str, str]], open_start: bool, null_keys_match: bool) -> DataFrame:
-    """Structs (l, r) of the points and the intervals that hold them. Both tables are read several times."""
+def _crowded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Keys s0, s1, ... with more rows than ``most``; without keys one row without columns, if there are so many."""
+    return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*[col(k).alias(f"s{x}") for x, k in enumerate(keys)])
+
+
+def _in_crowd(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for x, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"s{x}"))
+    return same
+
+
+def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, on: Sequence[tuple[str, str]], open_start: bool, null_keys_match: bool, few: bool = False) -> DataFrame:
+    """Structs (l, r) of the points and the intervals that hold them. Both tables are read several times.
+
+    ``few`` says that no key has many rows in either table."""
     low, high = _number(intervals, start), _number(intervals, end)
     length, size = high - low, F.greatest(F.abs(low), F.abs(high))
     # As wide as the interval, and wide enough that cells can be told apart in a double.
@@ -164,19 +178,16 @@ def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end:
     left = points.where(col(point).isNotNull()).select(F.struct(*[col(c) for c in points.columns]).alias("l"), *keys_l, _number(points, point).alias("x"))
 
     # Keys with few intervals need no grid: their points meet all of them, and are not copied to the widths in use.
-    crowded = right.groupBy(*theirs).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*[F.col(h).alias(f"s{x}") for x, h in enumerate(theirs)])
-    many = bool(crowded.take(1)) if not on else True
+    crowded = None if few else _crowded(right, theirs, CROWD).checkpoint()
+    many = not few and not crowded.isEmpty()
 
     def gridded(df: DataFrame, names: list[str]) -> DataFrame:
-        if not on:
+        if not on or not many:
             return df.withColumn("grid", F.lit(many))
-        same = F.lit(True)
-        for x, c in enumerate(names):
-            same = same & F.col(c).eqNullSafe(F.col(f"s{x}"))
-        return df.join(F.broadcast(crowded.withColumn("found", F.lit(True))), same, "left").select(*[F.col(c) for c in df.columns], F.col("found").isNotNull().alias("grid"))
+        return df.join(F.broadcast(crowded.withColumn("found", F.lit(True))), _in_crowd(names), "left").select(*[F.col(c) for c in df.columns], F.col("found").isNotNull().alias("grid"))
 
     right = gridded(right, theirs)
-    widths = sorted(r.width for r in right.where("grid").select("width").distinct().collect())    # powers of two that occur: few, 1,900 at most
+    widths = sorted(r.width for r in right.where("grid").select("width").distinct().collect()) if many else []    # powers of two that occur: few, 1,900 at most
     power = F.pow(F.lit(2.0), "width")
     right = right.select("r", *theirs, F.when(F.col("grid"), F.col("width")).otherwise(FLAT).alias("width"), F.explode(F.when(
         F.col("grid"), F.sequence(F.floor(F.col("low") / power), F.floor(F.col("high") / power))).otherwise(F.array(F.lit(0).cast("long")))).alias("cell"))
@@ -185,7 +196,7 @@ def _meet(points: DataFrame, intervals: DataFrame, point: str, start: str, end:
     left = left.select("l", *mine, "w", F.when(F.col("w") == FLAT, F.lit(0).cast("long")).when(F.abs(spot) < 2.0 ** 62, F.floor(spot)).alias("spot")).where("spot is not null")
     cells = [*zip(mine, theirs), ("w", "width"), ("spot", "cell")]
     tasks = _tasks(left, right, cells) if widths or not on else 0     # without a grid, a row meets CROWD intervals of its keys at most
-    left, right = _sliced(left, right, cells)
+    left, right = (left.withColumns({"i": F.lit(0), "j": F.lit(0)}), right.withColumns({"i1": F.lit(0), "j1": F.lit(0)})) if few else _sliced(left, right, cells)
     if tasks:
         left, right = (df.repartition(tasks, *names) for df, names in (
             (left, [*mine, "w", "spot", "i", "j"]), (right, [*theirs, "width", "cell", "i1", "j1"])))
@@ -246,14 +257,20 @@ def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str]
 
     Of two that overlap, the right one starts inside the left one, or else the left one after the
     right one's start and inside it: two joins of points that have no pair in common. Null bounds
-    and intervals that end before they start match nothing.
+    and intervals that end before they start match nothing. A table joined with itself is written once.
     """
     pairs = _pairs(on, right_on)
     (a, b), (c, d) = left_bounds, right_bounds
     require(left, [a, b, *[x for x, _ in pairs]])
     require(right, [c, d, *[y for _, y in pairs]])
-    left, right = _stored(normalise_missing(left)), _stored(normalise_missing(right))
+    alike = left is right
+    left = _stored(normalise_missing(left))
+    right = left if alike else _stored(normalise_missing(right))
     proper = [df.where(col(s) <= col(e)) for df, s, e in ((left, a, b), (right, c, d))]
-    inside = _meet(proper[1], proper[0], c, a, b, [(y, x) for x, y in pairs], False, null_keys_match).select(F.col("r").alias("l"), F.col("l").alias("r"))
-    later = _meet(proper[0], proper[1], a, c, d, pairs, True, null_keys_match)
+    # Where no key has many rows in either table, neither join looks for crowds again.
+    most, mine, theirs = min(CROWD, SLICE_POINTS, SLICE_INTERVALS), [x for x, _ in pairs], [y for _, y in pairs]
+    same = alike and (a, b, *mine) == (c, d, *theirs)
+    few = bool(pairs) and all(_crowded(df, keys, most).isEmpty() for df, keys in list(zip(proper, (mine, theirs)))[:1 if same else 2])
+    inside = _meet(proper[1], proper[0], c, a, b, [(y, x) for x, y in pairs], False, null_keys_match, few).select(F.col("r").alias("l"), F.col("l").alias("r"))
+    later = _meet(proper[0], proper[1], a, c, d, pairs, True, null_keys_match, few)
     return _unpacked(inside.union(later), left, right, [y for x, y in pairs if x == y], suffixes)

@@ -388,7 +388,8 @@ select a.o_custkey, a.o_orderkey as one, b.o_orderkey as other from {OPEN} a
 join {OPEN} b on a.o_custkey = b.o_custkey and a.o_orderdate <= b.done and b.o_orderdate <= a.done
 where a.o_orderkey < b.o_orderkey and a.o_orderdate <= a.done and b.o_orderdate <= b.done""")
 def open_together(spark, d):
-    out = tj.overlap_join(open_orders(spark, d), open_orders(spark, d), ("o_orderdate", "done"), ("o_orderdate", "done"), "o_custkey")
+    orders = open_orders(spark, d)
+    out = tj.overlap_join(orders, orders, ("o_orderdate", "done"), ("o_orderdate", "done"), "o_custkey")
     return out.where("o_orderkey_x < o_orderkey_y").select("o_custkey", F.col("o_orderkey_x").alias("one"), F.col("o_orderkey_y").alias("other"))
 
 

@@ -167,3 +167,31 @@ def test_tasks_grow_with_the_pairs_of_a_band_join(spark, monkeypatch):
     out = interval_join(points, spans, "x", "s", "e")
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
     assert out.count() == few.count() == sum(1 for i in range(3_000) for j in range(1_000) if 0 <= i % 100 - j % 100 <= 5)
+
+
+def test_overlaps_without_crowded_keys_are_not_cut_and_read_one_table_once(spark, monkeypatch):
+    """Key 1 is crowded on one side only."""
+    rng, stored, cut = random.Random(3), [], []
+    put, sliced = timed_joins._stored, timed_joins._sliced
+    monkeypatch.setattr(timed_joins, "_stored", lambda df: stored.append(1) or put(df))
+    monkeypatch.setattr(timed_joins, "_sliced", lambda *a: cut.append(1) or sliced(*a))
+
+    def some(ones):
+        return [(i, k, lo, rng.choice([None, lo - 2, lo, lo + rng.randrange(40)]) if lo is not None else 9)
+                for i, k in enumerate([1] * ones + [2, 2, 2, 3, 3, None, None] * 4) for lo in [rng.choice([None, *range(100)])]]
+    left, right = some(40), some(9)
+    a, b = spark.createDataFrame(left, "i long, k int, a int, b int"), spark.createDataFrame(right, "j long, k int, a int, b int")
+
+    def wanted(left, right, nulls):
+        return sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] and (nulls or x[1] is not None) and None not in (*x[2:], *y[2:])
+                      and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    for crowd, cuts in ((20, 2), (1_000, 0)):
+        monkeypatch.setattr(timed_joins, "CROWD", crowd)
+        for nulls in (True, False):
+            cut.clear()
+            got = overlap_join(a, b, ("a", "b"), ("a", "b"), "k", null_keys_match=nulls)
+            assert got.columns == ["i", "k", "a_x", "b_x", "j", "a_y", "b_y"] and len(cut) == cuts
+            assert sorted((r.i, r.j) for r in got.collect()) == wanted(left, right, nulls)
+    stored.clear()
+    same = overlap_join(a, a, ("a", "b"), ("a", "b"), "k")
+    assert len(stored) == 1 and sorted((r.i_x, r.i_y) for r in same.collect()) == wanted(left, left, True)
